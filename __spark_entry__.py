@@ -635,6 +635,16 @@ def experiment_train_val_test(spark, sf_dir):
     return run.metrics
 
 
+@query("experiment_roc")
+def experiment_roc(spark, sf_dir):
+    run = run_experiment(
+        _order_features(spark, sf_dir),
+        PenalizedLogit(C=1.0, penalty="l2"),
+        splits=("train", "val", "test"),
+    )
+    return run.roc()
+
+
 @query("experiment_log")
 def experiment_log(spark, sf_dir):
     run = run_experiment(

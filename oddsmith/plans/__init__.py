@@ -1,4 +1,11 @@
-from oddsmith.plans.experiment import ExperimentData, PreparedData, Run, prepare, run_experiment
+from oddsmith.plans.experiment import (
+    ExperimentData,
+    PreparedData,
+    Run,
+    prepare,
+    run_experiment,
+    run_experiments,
+)
 from oddsmith.plans.runlog import RUN_LOG_SCHEMA, append_run_log, best_run, run_log_rows
 
 __all__ = [
@@ -10,5 +17,6 @@ __all__ = [
     "best_run",
     "prepare",
     "run_experiment",
+    "run_experiments",
     "run_log_rows",
 ]

@@ -6,7 +6,7 @@ categories, models), one AUC per split, and the run-log entries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.functions import required_outcome
-from oddsmith.operators.evaluate import compare_with_baseline, roc_auc
+from oddsmith.operators.evaluate import compare_with_baseline, roc_auc, roc_points
 from oddsmith.operators.features import FeatureEncoder, feature_names
 from oddsmith.operators.keys import primary_key_check
 from oddsmith.operators.models import LABEL, best_model, feature_importance, model_params, score
@@ -65,7 +65,11 @@ class ExperimentData:
 
 @dataclass(frozen=True)
 class PreparedData:
-    """Encoded rows, shared by every run on the same data and encoder."""
+    """A fitted encoder, shared by every run on the same data.
+
+    Encoding is a row-wise projection of a column-pruned scan. Runs repeat it
+    rather than keep the encoded table, which is wider than what it is made from.
+    """
 
     data: ExperimentData
     encoder: PipelineModel
@@ -95,6 +99,11 @@ class Run:
     metrics: DataFrame
     importances: DataFrame
     log: DataFrame
+    scored: DataFrame
+
+    def roc(self) -> DataFrame:
+        """The ROC curve of each split as a table."""
+        return roc_points(self.scored, LABEL, SCORE, self.scored.columns[0])
 
 
 def run_experiment(
@@ -122,11 +131,11 @@ def run_experiment(
         fitted = estimator.fit(train.drop(key))
     model = best_model(fitted)
     scored = score(model, prepared.rows(*splits), SCORE).select(split, LABEL, SCORE)
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = {row[split]: row["auc"] for row in roc_auc(scored, LABEL, SCORE, split).collect()}
+        found = {row[split]: row["auc"] for row in roc_auc(kept, LABEL, SCORE, split).collect()}
     finally:
-        scored.unpersist()
+        kept.unpersist()
     aucs = {name: found.get(name) for name in splits}
     metrics = small_frame(spark, list(aucs.items()), f"{split} string, auc double")
     if baseline_auc is not None:
@@ -144,4 +153,14 @@ def run_experiment(
         feature_names=prepared.data.features,
     )
     whole = PipelineModel([prepared.encoder, model])
-    return Run(run, whole, fitted, aucs, metrics, importances, log)
+    return Run(run, whole, fitted, aucs, metrics, importances, log, scored)
+
+
+def run_experiments(
+    prepared: PreparedData, estimators: Mapping[str, Estimator | Search], **options
+) -> dict[str, Run]:
+    """One run per estimator on the same data and encoder, described by its name."""
+    return {
+        name: run_experiment(prepared, estimator, description=name, **options)
+        for name, estimator in estimators.items()
+    }
