@@ -31,7 +31,6 @@ from oddsmith.operators.keys import primary_key_check
 from oddsmith.operators.models import (
     LABEL,
     PenalizedLogit,
-    best_model,
     boosted_trees,
     feature_importance,
     random_forest,
@@ -48,7 +47,13 @@ from oddsmith.operators.split import (
     split_by_dates,
     split_random,
 )
-from oddsmith.plans.experiment import ExperimentData, PreparedData, prepare, run_experiment
+from oddsmith.plans.experiment import (
+    ExperimentData,
+    PreparedData,
+    fit_on,
+    prepare,
+    run_experiment,
+)
 from oddsmith.plans.runlog import (
     SPLIT_METRICS,
     RunId,
@@ -56,7 +61,6 @@ from oddsmith.plans.runlog import (
     best_run,
     run_log_rows,
 )
-from oddsmith.session import ensure_checkpoint_dir
 from oddsmith.sources import pull_sql, read_table, replace_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -569,9 +573,8 @@ def variance_explained(spark, sf_dir):
 
 def _scores(spark: SparkSession, sf_dir: str, estimator) -> DataFrame:
     """Fit on the train orders, score all of them."""
-    ensure_checkpoint_dir(spark)
     prepared = _order_features(spark, sf_dir)
-    model = estimator.fit(prepared.rows("train").select(LABEL, "features"))
+    model = fit_on(prepared.rows("train").drop("split"), estimator, "o_orderkey")
     return score(model, prepared.rows()).select("o_orderkey", "split", LABEL, "score")
 
 
@@ -593,7 +596,8 @@ def logreg_scores(spark, sf_dir):
 @query("feature_importance")
 def importances(spark, sf_dir):
     prepared = _order_features(spark, sf_dir)
-    model = random_forest(n_trees=20).fit(prepared.rows("train").select(LABEL, "features"))
+    train = prepared.rows("train").drop("split")
+    model = fit_on(train, random_forest(n_trees=20), "o_orderkey")
     return feature_importance(model, prepared.names, prepared.data.df)
 
 

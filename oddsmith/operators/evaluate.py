@@ -16,17 +16,14 @@ import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.functions import required_number, required_outcome
+from oddsmith.functions import quoted, required_number, required_outcome
 
 ROWS_PER_BUCKET = 1 << 18
 MAX_BUCKETS = 1 << 16
 SAMPLES_PER_BUCKET = 20
-RUNNING = (W.unboundedPreceding, W.currentRow)
-BEFORE = (W.unboundedPreceding, -1)
 # Products of two row counts leave the range of a long beyond 3e9 rows. Per score
 # they are summed in two long parts, which code generation handles fast; the wide
 # decimal type takes over for the bucket totals.
@@ -54,34 +51,35 @@ def score_bounds(scores: DataFrame, rows: int, rows_per_bucket: int) -> list[flo
 
 
 def _bucketed(
-    df: DataFrame, label: str, score: str, by: Sequence[str], rows_per_bucket: int
+    df: DataFrame, label: str, score: str, by: Sequence[str], rows: int | None, per_bucket: int
 ) -> DataFrame:
     """``_by``, ``_bucket``, ``_score`` and the outcome ``_y`` of every row."""
     # A struct equals itself also where its fields are NULL, so it can be a join key.
-    rows = df.select(
+    scored = df.select(
         (F.struct(*by) if by else F.lit(0)).alias("_by"),
         required_number(F.col(score), "score").alias("_score"),
         required_outcome(F.col(label), label).alias("_y"),
     )
-    bounds = score_bounds(rows.select("_score"), df.count(), rows_per_bucket)
+    rows = df.count() if rows is None else rows
+    bounds = score_bounds(scored.select("_score"), rows, per_bucket)
     if not bounds:
-        return rows.withColumn("_bucket", F.lit(0))
+        return scored.withColumn("_bucket", F.lit(0))
     cut = Bucketizer(
-        splits=[-np.inf, *bounds, np.inf], inputCol="_score", outputCol="_bucket"
-    ).transform(rows)
+        splits=[-np.inf, *bounds, np.inf], inputCol="_score", outputCol="_cut"
+    ).transform(scored)
     # Never NULL, and declared so: a join on it then needs no filter of its own.
-    return cut.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(-1)))
+    return cut.selectExpr("_by", "_score", "_y", "coalesce(CAST(_cut AS INT), -1) AS _bucket")
 
 
 def _counts(rows: DataFrame, *keys: str) -> DataFrame:
-    positives = F.sum("_y")
+    """Positives ``_p`` and negatives ``_n``."""
     return rows.groupBy("_by", *keys).agg(
-        positives.alias("_p"), (F.count("_y") - positives).alias("_n")
+        F.expr("sum(_y) AS _p"), F.expr("count(_y) - sum(_y) AS _n")
     )
 
 
-def _by_columns(by: Sequence[str]) -> list[Column]:
-    return [F.col("_by").getField(name).alias(name) for name in by]
+def _by_columns(by: Sequence[str]) -> list[str]:
+    return [f"_by.{quoted(name)} AS {quoted(name)}" for name in by]
 
 
 def roc_auc(
@@ -91,46 +89,58 @@ def roc_auc(
     by: str | Sequence[str] = (),
     *,
     name: str = "auc",
+    rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counting half: one row per ``by`` group.
 
     NULL where a group has one outcome only. The scores are read two or three
-    times, so persist a frame whose scores are costly.
+    times, so persist a frame whose scores are costly. ``rows``, if known, about
+    says how many there are and saves a count.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rows = _bucketed(df, label, score, by, rows_per_bucket)
-    upto = W.partitionBy("_by", "_bucket").orderBy("_score").rowsBetween(*RUNNING)
+    scored = _bucketed(df, label, score, by, rows, rows_per_bucket)
     buckets = (
-        _counts(rows, "_bucket", "_score")
+        _counts(scored, "_bucket", "_score")
         # Twice the wins of one positive: it beats every negative below it and ties
         # with those on its own score.
-        .withColumn("_wins", 2 * F.sum("_n").over(upto) - F.col("_n"))
+        .selectExpr(
+            "_by",
+            "_bucket",
+            "_p",
+            "_n",
+            "2 * sum(_n) OVER (PARTITION BY _by, _bucket ORDER BY _score"
+            " ROWS UNBOUNDED PRECEDING) - _n AS _wins",
+        )
         .groupBy("_by", "_bucket")
         .agg(
-            F.sum(F.col("_p") * F.shiftright("_wins", LOW_BITS)).alias("_high"),
-            F.sum(F.col("_p") * F.col("_wins").bitwiseAND((1 << LOW_BITS) - 1)).alias("_low"),
-            F.sum("_p").alias("_p"),
-            F.sum("_n").alias("_n"),
+            F.expr(f"sum(_p * shiftright(_wins, {LOW_BITS})) AS _high"),
+            F.expr(f"sum(_p * (_wins & {(1 << LOW_BITS) - 1})) AS _low"),
+            F.expr("sum(_p) AS _p"),
+            F.expr("sum(_n) AS _n"),
         )
     )
-    won = F.col("_high").cast(COUNT) * F.lit(1 << LOW_BITS).cast(COUNT) + F.col("_low").cast(COUNT)
-    # From here on at most MAX_BUCKETS rows per group.
-    below = W.partitionBy("_by").orderBy("_bucket").rowsBetween(*BEFORE)
-    offset = F.coalesce(F.sum("_n").over(below), F.lit(0))
-    carried = (2 * F.col("_p")).cast(COUNT) * offset.cast(COUNT)
-    pairs = F.sum("_p").cast(COUNT) * F.sum("_n").cast(COUNT)
+    # From here on at most MAX_BUCKETS rows per group. Positives also beat all
+    # negatives of the buckets below.
+    below = (
+        "coalesce(sum(_n) OVER (PARTITION BY _by ORDER BY _bucket"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    )
+    won = (
+        f"CAST(_high AS {COUNT}) * CAST({1 << LOW_BITS} AS {COUNT}) + CAST(_low AS {COUNT})"
+        f" + CAST(2 * _p AS {COUNT}) * CAST({below} AS {COUNT})"
+    )
+    pairs = f"CAST(sum(_p) AS {COUNT}) * CAST(sum(_n) AS {COUNT})"
+    auc = f"try_divide(CAST(sum(_won) AS DOUBLE), CAST(2 * CAST({pairs} AS {PRODUCT}) AS DOUBLE))"
     return (
-        buckets.withColumn("_won", (won + carried).cast(PRODUCT))
+        buckets.selectExpr("_by", "_p", "_n", f"CAST({won} AS {PRODUCT}) AS _won")
         .groupBy("_by")
         .agg(
-            F.sum("_p").alias("positives"),
-            F.sum("_n").alias("negatives"),
-            F.try_divide(
-                F.sum("_won").cast("double"), 2 * pairs.cast(PRODUCT).cast("double")
-            ).alias(name),
+            F.expr("sum(_p) AS positives"),
+            F.expr("sum(_n) AS negatives"),
+            F.expr(f"{auc} AS {quoted(name)}"),
         )
-        .select(*_by_columns(by), "positives", "negatives", name)
+        .selectExpr(*_by_columns(by), "positives", "negatives", quoted(name))
     )
 
 
@@ -141,6 +151,7 @@ def roc_points(
     by: str | Sequence[str] = (),
     *,
     origin: bool = False,
+    rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """The ROC curve as a table: for each distinct score as threshold, the true and
@@ -149,54 +160,45 @@ def roc_points(
     ``origin`` adds the point (0, 0) under an infinite threshold.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rows = _bucketed(df, label, score, by, rows_per_bucket)
-    above = W.partitionBy("_by").orderBy(F.desc("_bucket"))
-    whole = W.partitionBy("_by")
-    before = above.rowsBetween(*BEFORE)
-    totals = _counts(rows, "_bucket").select(
+    scored = _bucketed(df, label, score, by, rows, rows_per_bucket)
+    above = (
+        "OVER (PARTITION BY _by ORDER BY _bucket DESC"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    totals = _counts(scored, "_bucket").selectExpr(
         "_by",
         "_bucket",
-        F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp0"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_fp0"),
-        F.sum("_p").over(whole).alias("_pos"),
-        F.sum("_n").over(whole).alias("_neg"),
+        f"coalesce(sum(_p) {above}, 0) AS _tp0",
+        f"coalesce(sum(_n) {above}, 0) AS _fp0",
+        "sum(_p) OVER (PARTITION BY _by) AS _pos",
+        "sum(_n) OVER (PARTITION BY _by) AS _neg",
     )
-    higher = W.partitionBy("_by", "_bucket").orderBy(F.desc("_score")).rowsBetween(*RUNNING)
+    higher = "OVER (PARTITION BY _by, _bucket ORDER BY _score DESC ROWS UNBOUNDED PRECEDING)"
     points = (
-        _counts(rows, "_bucket", "_score")
-        .withColumn("_tp", F.sum("_p").over(higher))
-        .withColumn("_fp", F.sum("_n").over(higher))
+        _counts(scored, "_bucket", "_score")
+        .selectExpr(
+            "_by", "_bucket", "_score", f"sum(_p) {higher} AS _tp", f"sum(_n) {higher} AS _fp"
+        )
         # The window left the counts partitioned by these keys; only the totals move.
         .join(totals if by else F.broadcast(totals), ["_by", "_bucket"])
-        .select(
-            "_by",
-            F.col("_score").alias("threshold"),
-            (F.col("_tp0") + F.col("_tp")).alias("tp"),
-            (F.col("_fp0") + F.col("_fp")).alias("fp"),
-            "_pos",
-            "_neg",
+        .selectExpr(
+            "_by", "_score AS threshold", "_tp0 + _tp AS tp", "_fp0 + _fp AS fp", "_pos", "_neg"
         )
     )
     if origin:
         start = totals.groupBy("_by").agg(F.max("_pos").alias("_pos"), F.max("_neg").alias("_neg"))
-        zero = F.lit(0).cast("long")
         points = points.unionByName(
-            start.select(
-                "_by",
-                F.lit(float("inf")).alias("threshold"),
-                zero.alias("tp"),
-                zero.alias("fp"),
-                "_pos",
-                "_neg",
+            start.selectExpr(
+                "_by", "double('infinity') AS threshold", "0L AS tp", "0L AS fp", "_pos", "_neg"
             )
         )
-    return points.select(
+    return points.selectExpr(
         *_by_columns(by),
         "threshold",
         "tp",
         "fp",
-        F.try_divide("tp", "_pos").alias("tpr"),
-        F.try_divide("fp", "_neg").alias("fpr"),
+        "try_divide(tp, _pos) AS tpr",
+        "try_divide(fp, _neg) AS fpr",
     )
 
 
@@ -231,16 +233,19 @@ def compare_with_baseline(metrics: DataFrame, baseline: float, name: str = "auc"
 class RocAuc(Evaluator):
     """The exact AUC of a model's probabilities, for cross-validation."""
 
-    def __init__(self, label: str = "label", probability: str = "probability"):
+    def __init__(
+        self, label: str = "label", probability: str = "probability", rows: int | None = None
+    ):
         super().__init__()
         self.label = label
         self.probability = probability
+        self.rows = rows
 
     def _evaluate(self, dataset: DataFrame) -> float:
         score = vector_to_array(self.probability)[1].alias("_probability")
         scored = dataset.select(F.col(self.label).alias("_label"), score)
         # Chance level stands in for a fold with one outcome, which has no AUC.
-        found = roc_auc(scored, "_label", "_probability").first()
+        found = roc_auc(scored, "_label", "_probability", rows=self.rows).first()
         return found["auc"] if found and found["auc"] is not None else 0.5
 
     def isLargerBetter(self) -> bool:

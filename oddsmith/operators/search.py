@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from oddsmith.operators.evaluate import RocAuc
 from oddsmith.operators.models import LABEL, PenalizedLogit, boosted_trees, random_forest
 from oddsmith.operators.split import assign_folds
-from oddsmith.session import ensure_checkpoint_dir
+from oddsmith.session import ensure_checkpoint_dir, ready_for_passes
 from oddsmith.sources.small import small_frame
 
 
@@ -98,23 +98,23 @@ def grid_search(
 
     ``train`` holds the key, the label and whatever the estimator reads. Folds come
     from the key hash, so no row changes its fold when a task runs again. The
-    cross-validator keeps one fold's rows at a time; ``train`` itself need not be
-    persisted.
+    cross-validator keeps the rows of one fold at a time.
     """
     ensure_checkpoint_dir(train.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
     folded = assign_folds(
-        train, key, search.folds, search.seed, stratify=label if search.stratified else ()
+        train, keys, search.folds, search.seed, stratify=label if search.stratified else ()
     )
-    keys = [key] if isinstance(key, str) else list(key)
-    return CrossValidator(
-        estimator=search.estimator,
-        estimatorParamMaps=search.grid,
-        evaluator=RocAuc(label),
-        numFolds=search.folds,
-        foldCol="fold",
-        parallelism=search.parallelism,
-        seed=search.seed,
-    ).fit(folded.drop(*keys))
+    with ready_for_passes(folded, *keys) as (ready, rows):
+        return CrossValidator(
+            estimator=search.estimator,
+            estimatorParamMaps=search.grid,
+            evaluator=RocAuc(label, rows=rows // search.folds),
+            numFolds=search.folds,
+            foldCol="fold",
+            parallelism=search.parallelism,
+            seed=search.seed,
+        ).fit(ready.drop(*keys))
 
 
 def search_results(model: CrossValidatorModel, df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from oddsmith.plans.experiment import (
     ExperimentData,
     PreparedData,
     Run,
+    fit_on,
     prepare,
     run_experiment,
     run_experiments,
@@ -15,6 +16,7 @@ __all__ = [
     "Run",
     "append_run_log",
     "best_run",
+    "fit_on",
     "prepare",
     "run_experiment",
     "run_experiments",

@@ -24,7 +24,7 @@ from oddsmith.operators.schema import project_roles
 from oddsmith.operators.search import Search
 from oddsmith.operators.split import DateSplit
 from oddsmith.plans.runlog import RunId, run_log_rows
-from oddsmith.session import ensure_checkpoint_dir
+from oddsmith.session import ensure_checkpoint_dir, ready_for_passes
 from oddsmith.sources.small import small_frame
 
 SCORE = "score"
@@ -82,6 +82,13 @@ class PreparedData:
         return encoded.select(self.data.key, self.data.dates.split, LABEL, vector)
 
 
+def fit_on(train: DataFrame, estimator: Estimator, key: str) -> Model:
+    """Fit an estimator on rows with a key, a label and features."""
+    ensure_checkpoint_dir(train.sparkSession)
+    with ready_for_passes(train, key) as (ready, _):
+        return estimator.fit(ready.drop(key))
+
+
 def prepare(data: ExperimentData, encoder: FeatureEncoder) -> PreparedData:
     """Fit the encoder, on train rows only."""
     fitted = encoder.fit(data.rows("train"))
@@ -122,13 +129,12 @@ def run_experiment(
     columns: the estimators cache what they iterate over themselves.
     """
     spark = prepared.data.df.sparkSession
-    ensure_checkpoint_dir(spark)
     key, split = prepared.data.key, prepared.data.dates.split
     train = prepared.rows("train").drop(split)
     if isinstance(estimator, Search):
         fitted = estimator.fit(train, key)
     else:
-        fitted = estimator.fit(train.drop(key))
+        fitted = fit_on(train, estimator, key)
     model = best_model(fitted)
     scored = score(model, prepared.rows(*splits), SCORE).select(split, LABEL, SCORE)
     kept = scored.persist(StorageLevel.MEMORY_AND_DISK)

@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+# A fit passes over its rows many times. A table up to SMALL_ROWS may come in fewer
+# file splits than there are cores, so it is spread over them and kept. Larger ones
+# have splits enough; they are neither shuffled nor kept beside the estimator's own
+# cached rows.
+SMALL_ROWS = 5_000_000
+ROWS_PER_TASK = 25_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
@@ -22,3 +32,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         elif context.master.startswith("local"):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
+
+
+@contextmanager
+def ready_for_passes(df: DataFrame, *keys: str) -> Iterator[tuple[DataFrame, int]]:
+    """The frame as an iterative fit should read it, and its number of rows.
+
+    Rows are placed and ordered by key, so that a sampling estimator with a seed
+    draws the same rows in every run.
+    """
+    rows = df.count()
+    if rows > SMALL_ROWS:
+        yield df, rows
+        return
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK) or 1)
+    spread = df.repartition(tasks, *keys).sortWithinPartitions(*keys)
+    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield spread, rows
+    finally:
+        spread.unpersist()
