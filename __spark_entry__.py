@@ -5,9 +5,13 @@ Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import os
+import sys
 import uuid
 from collections.abc import Callable
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +80,8 @@ ORDER_SPLIT = """CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'train'
     WHEN o_orderdate < TIMESTAMP '2001-01-01' THEN 'val'
     WHEN o_orderdate >= TIMESTAMP '2001-01-01' THEN 'test' END"""
 SHIP_SPLIT = ORDER_SPLIT.replace("o_orderdate", "l_shipdate")
-ORDER_HASH = "CAST('0x' || substr(md5('42:' || o_orderkey), 1, 15) AS BIGINT)"
-FOLD_HASH = "CAST('0x' || substr(md5('fold-42:' || o_orderkey), 1, 15) AS BIGINT)"
+ORDER_HASH = "md5('42:' || o_orderkey)"
+FOLD_HASH = "md5('fold-42:' || o_orderkey)"
 LINE_SCORE = "l_extendedprice + 100 * l_quantity"
 
 
@@ -263,7 +267,7 @@ def windows_back_from_anchor(spark, sf_dir):
 
 @query(
     "split_random",
-    f"""SELECT o_orderkey, CASE WHEN {ORDER_HASH} < 288230376151711744 THEN 'test'
+    f"""SELECT o_orderkey, CASE WHEN {ORDER_HASH} < '4' THEN 'test'
                                 ELSE 'train' END AS split FROM orders""",
 )
 def random_split(spark, sf_dir):

@@ -1,8 +1,8 @@
 from oddsmith.functions.columns import (
-    HASH_RANGE,
     code_of,
     flag_positive,
     flag_true,
+    hash_bound,
     impute,
     keep_listed,
     key_hash,
@@ -14,10 +14,10 @@ from oddsmith.functions.columns import (
 )
 
 __all__ = [
-    "HASH_RANGE",
     "code_of",
     "flag_positive",
     "flag_true",
+    "hash_bound",
     "impute",
     "keep_listed",
     "key_hash",

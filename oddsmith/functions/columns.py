@@ -13,9 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# key_hash() yields integers in [0, HASH_RANGE).
-HASH_DIGITS = 15
-HASH_RANGE = 16**HASH_DIGITS
+# A hash is text of hexadecimal digits. This many of them place it in its range.
+_RANGE_DIGITS = 15
 
 
 def quoted(name: str) -> str:
@@ -74,15 +73,21 @@ def code_of(operand: str, codes: Mapping[str, int], default: int) -> str:
 
 
 def key_hash(keys: Sequence[str | Column], seed: int | str) -> Column:
-    """A repeatable pseudo-random integer in [0, HASH_RANGE) for a row key.
+    """A repeatable pseudo-random text of 32 hexadecimal digits for a row key.
 
     It depends on nothing but seed and key, so a recomputed task, another
-    partitioning or another engine with MD5 draws the same number.
+    partitioning or another engine with MD5 draws the same. Text of one length
+    sorts as the numbers do; turning it into numbers would cost more than the hash.
     """
     columns = [F.col(key) if isinstance(key, str) else key for key in keys]
     text = [F.coalesce(column.cast("string"), F.lit("")) for column in columns]
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *text))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *text))
+
+
+def hash_bound(share: float) -> str:
+    """The hash below which this share of the hash range lies."""
+    top = 16**_RANGE_DIGITS
+    return format(min(round(share * top), top - 1), f"0{_RANGE_DIGITS}x")
 
 
 def required_number(value: Column, what: str) -> Column:

@@ -22,10 +22,12 @@ from oddsmith.sources.small import small_frame
 
 HASH = "_hash"
 MAX_STRATA = 100_000
-# A hash has 60 bits. Below SMALL rows one pass over the hashes is enough; beyond,
-# two passes of 2^15 cells per stratum come first.
+# A cell is the leading digits of a hash: four more digits are 65,536 cells more.
+# The last pass sorts the hashes of one cell, about SMALL of them at most.
+DIGITS = 32
+CELL_DIGITS = 4
 SMALL = 1 << 20
-SHIFTS = (45, 30, 0)
+NO_HASH = ""
 
 
 class Stratum(NamedTuple):
@@ -52,7 +54,7 @@ def _strata_frame(
     fields.append(T.StructField("_stratum", T.IntegerType()))
     rows = [(*stratum.values, i) for i, stratum in enumerate(strata)]
     if cuts is not None:
-        fields.append(T.StructField("_cuts", T.ArrayType(T.LongType())))
+        fields.append(T.StructField("_cuts", T.ArrayType(T.StringType())))
         rows = [(*row, cut) for row, cut in zip(rows, cuts)]
     return F.broadcast(small_frame(df.sparkSession, rows, T.StructType(fields)))
 
@@ -62,16 +64,25 @@ def _join_strata(df: DataFrame, small: DataFrame, stratify: Sequence[str]) -> Da
     return df.join(small, same, "left")
 
 
+def _passes(rows: int, small: int) -> list[int]:
+    """How many leading digits each pass looks at."""
+    digits = []
+    while rows > small and len(digits) < 3:
+        digits.append(CELL_DIGITS * (len(digits) + 1))
+        rows >>= 4 * CELL_DIGITS
+    return [*digits, DIGITS]
+
+
 def hash_cutoffs(
     hashed: DataFrame,
     stratify: Sequence[str],
     strata: Sequence[Stratum],
     ranks: Sequence[Sequence[int]],
     small: int = SMALL,
-) -> list[list[int]]:
+) -> list[list[str]]:
     """For each stratum and wanted rank k, the smallest hash with k rows up to it.
 
-    Rank 0 gives -1, below every hash.
+    Rank 0 gives NO_HASH, which sorts before every hash.
     """
     spark = hashed.sparkSession
     if stratify:
@@ -80,44 +91,42 @@ def hash_cutoffs(
         rows = hashed.withColumn("_stratum", F.lit(0))
     rows = rows.select("_stratum", HASH)
     # (stratum, position) -> (rank left, cell so far)
-    open_ranks = {
-        (s, i): (rank, None)
-        for s, wanted in enumerate(ranks)
-        for i, rank in enumerate(wanted)
+    wanted = {
+        (s, i): (rank, NO_HASH)
+        for s, of_stratum in enumerate(ranks)
+        for i, rank in enumerate(of_stratum)
         if rank > 0
     }
-    whole = sum(stratum.rows for stratum in strata)
-    before = None
-    for shift in SHIFTS if whole > small else SHIFTS[-1:]:
-        if not open_ranks:
-            break
-        cells = rows.withColumn("_cell", F.shiftright(HASH, shift))
-        if before is not None:
-            inside = sorted({(s, cell) for (s, _), (_, cell) in open_ranks.items()})
-            inside = small_frame(spark, inside, "_stratum int, _outer long")
-            cells = cells.withColumn("_outer", F.shiftright(HASH, before))
+    before = 0
+    for digits in _passes(sum(s.rows for s in strata), small) if wanted else []:
+        cells = rows.selectExpr(
+            "_stratum",
+            f"substring({HASH}, 1, {before}) AS _outer",
+            f"substring({HASH}, 1, {digits}) AS _cell",
+        )
+        if before:
+            inside = sorted({(s, cell) for (s, _), (_, cell) in wanted.items()})
+            inside = small_frame(spark, inside, "_stratum int, _outer string")
             cells = cells.join(F.broadcast(inside), ["_stratum", "_outer"], "left_semi")
-        else:
-            cells = cells.withColumn("_outer", F.lit(0).cast("long"))
         counts = cells.groupBy("_stratum", "_outer", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        # At most 2^15 cells, or the few hashes of one cell, per window partition.
+        # A window partition holds the cells, or at last the hashes, of one cell.
         order = W.partitionBy("_stratum", "_outer").orderBy("_cell")
         running = counts.withColumn("_upto", F.sum("_n").over(order))
         targets = small_frame(
             spark,
-            [(s, cell or 0, i, rank) for (s, i), (rank, cell) in open_ranks.items()],
-            "_stratum int, _outer long, _at int, _rank long",
+            [(s, cell, i, rank) for (s, i), (rank, cell) in wanted.items()],
+            "_stratum int, _outer string, _at int, _rank long",
         )
-        hit = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+        hit = "_upto >= _rank AND _upto - _n < _rank"
         found = running.join(F.broadcast(targets), ["_stratum", "_outer"]).filter(hit).collect()
-        open_ranks = {
+        wanted = {
             (r["_stratum"], r["_at"]): (r["_rank"] - (r["_upto"] - r["_n"]), r["_cell"])
             for r in found
         }
-        before = shift
+        before = digits
     return [
-        [open_ranks[s, i][1] if (s, i) in open_ranks else -1 for i in range(len(wanted))]
-        for s, wanted in enumerate(ranks)
+        [wanted[s, i][1] if (s, i) in wanted else NO_HASH for i in range(len(of_stratum))]
+        for s, of_stratum in enumerate(ranks)
     ]
 
 
@@ -129,7 +138,7 @@ def attach_cutoffs(
 ) -> tuple[DataFrame, Column]:
     """The frame and a column holding the cutoffs of each row's stratum."""
     if not stratify:
-        edges = cuts[0] if cuts else [-1]
-        return hashed, F.array(*[F.lit(edge).cast("long") for edge in edges])
+        edges = cuts[0] if cuts else [NO_HASH]
+        return hashed, F.array(*[F.lit(edge) for edge in edges])
     small = _strata_frame(hashed, stratify, strata, [list(c) for c in cuts])
     return _join_strata(hashed, small, stratify), F.col("_cuts")

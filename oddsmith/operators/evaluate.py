@@ -31,13 +31,14 @@ LOW_BITS = 20
 COUNT, PRODUCT = "decimal(19,0)", "decimal(38,0)"
 
 
-def score_bounds(scores: DataFrame, rows: int, rows_per_bucket: int) -> list[float]:
+def score_bounds(scores: DataFrame, rows: int | None, rows_per_bucket: int) -> list[float]:
     """Bounds between buckets of about ``rows_per_bucket`` rows, from a sample.
 
     The sample holds at most some SAMPLES_PER_BUCKET * MAX_BUCKETS numbers. It only
     decides how even the buckets are. Duplicate bounds merge: a score held by many
     rows is one row once counted.
     """
+    rows = scores.count() if rows is None else rows
     buckets = min(-(-rows // rows_per_bucket), MAX_BUCKETS)
     if buckets < 2:
         return []
@@ -50,34 +51,34 @@ def score_bounds(scores: DataFrame, rows: int, rows_per_bucket: int) -> list[flo
     return np.unique(edges).tolist()
 
 
-def _bucketed(
-    df: DataFrame, label: str, score: str, by: Sequence[str], rows: int | None, per_bucket: int
-) -> DataFrame:
-    """``_by``, ``_bucket``, ``_score`` and the outcome ``_y`` of every row."""
+def _scored(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """``_by``, ``_score`` and the outcome ``_y`` of every row."""
     # A struct equals itself also where its fields are NULL, so it can be a join key.
-    scored = df.select(
+    return df.select(
         (F.struct(*by) if by else F.lit(0)).alias("_by"),
         required_number(F.col(score), "score").alias("_score"),
         required_outcome(F.col(label), label).alias("_y"),
     )
-    rows = df.count() if rows is None else rows
-    bounds = score_bounds(scored.select("_score"), rows, per_bucket)
-    if not bounds:
-        return scored.withColumn("_bucket", F.lit(0))
-    cut = Bucketizer(
-        splits=[-np.inf, *bounds, np.inf], inputCol="_score", outputCol="_cut"
-    ).transform(scored)
-    # Never NULL, and declared so: a join on it then needs no filter of its own.
-    return cut.selectExpr("_by", "_score", "_y", "coalesce(CAST(_cut AS INT), -1) AS _bucket")
 
 
-def _counts(rows: DataFrame, *keys: str) -> DataFrame:
-    """Positives ``_p`` and negatives ``_n``."""
-    return rows.groupBy("_by", *keys).agg(
+def _counts(rows: DataFrame, key: str) -> DataFrame:
+    """Positives ``_p`` and negatives ``_n`` of each group and key."""
+    return rows.groupBy("_by", key).agg(
         F.expr("sum(_y) AS _p"), F.expr("count(_y) - sum(_y) AS _n")
     )
 
 
+def _bucketed(frame: DataFrame, bounds: list[float]) -> DataFrame:
+    """Add the ``_bucket`` of each ``_score``: a binary search over the bounds."""
+    if not bounds:
+        return frame.withColumn("_bucket", F.lit(0))
+    cut = Bucketizer(
+        splits=[-np.inf, *bounds, np.inf], inputCol="_score", outputCol="_cut"
+    ).transform(frame)
+    # Never NULL, and declared so: a join on it then needs no filter of its own.
+    return cut.selectExpr(*frame.columns, "coalesce(CAST(_cut AS INT), -1) AS _bucket")
+
+
 def _by_columns(by: Sequence[str]) -> list[str]:
     return [f"_by.{quoted(name)} AS {quoted(name)}" for name in by]
 
@@ -99,9 +100,10 @@ def roc_auc(
     says how many there are and saves a count.
     """
     by = [by] if isinstance(by, str) else list(by)
-    scored = _bucketed(df, label, score, by, rows, rows_per_bucket)
+    scored = _scored(df, label, score, by)
+    bounds = score_bounds(scored.select("_score"), rows, rows_per_bucket)
     buckets = (
-        _counts(scored, "_bucket", "_score")
+        _bucketed(_counts(scored, "_score"), bounds)
         # Twice the wins of one positive: it beats every negative below it and ties
         # with those on its own score.
         .selectExpr(
@@ -160,12 +162,13 @@ def roc_points(
     ``origin`` adds the point (0, 0) under an infinite threshold.
     """
     by = [by] if isinstance(by, str) else list(by)
-    scored = _bucketed(df, label, score, by, rows, rows_per_bucket)
+    scored = _scored(df, label, score, by)
+    bounds = score_bounds(scored.select("_score"), rows, rows_per_bucket)
     above = (
         "OVER (PARTITION BY _by ORDER BY _bucket DESC"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    totals = _counts(scored, "_bucket").selectExpr(
+    totals = _counts(_bucketed(scored, bounds), "_bucket").selectExpr(
         "_by",
         "_bucket",
         f"coalesce(sum(_p) {above}, 0) AS _tp0",
@@ -175,7 +178,7 @@ def roc_points(
     )
     higher = "OVER (PARTITION BY _by, _bucket ORDER BY _score DESC ROWS UNBOUNDED PRECEDING)"
     points = (
-        _counts(scored, "_bucket", "_score")
+        _bucketed(_counts(scored, "_score"), bounds)
         .selectExpr(
             "_by", "_bucket", "_score", f"sum(_p) {higher} AS _tp", f"sum(_n) {higher} AS _fp"
         )

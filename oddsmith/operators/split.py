@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddsmith.functions import HASH_RANGE, key_hash
+from oddsmith.functions import hash_bound, key_hash
 from oddsmith.operators.cutoffs import HASH, Stratum, attach_cutoffs, count_strata, hash_cutoffs
 
 When = date | datetime | str
@@ -166,7 +166,7 @@ def split_random(
         is_test = F.col(HASH) <= F.element_at(cuts, 1)
         labelled = labelled.withColumn(split, F.when(is_test, "test").otherwise("train"))
         return labelled.select(*df.columns, split)
-    is_test = F.col(HASH) < F.lit(round(test_size * HASH_RANGE))
+    is_test = F.col(HASH) < hash_bound(test_size)
     return hashed.withColumn(split, F.when(is_test, "test").otherwise("train")).drop(HASH)
 
 
@@ -194,5 +194,6 @@ def assign_folds(
         hashed, cuts = attach_cutoffs(hashed, stratify, strata, cut)
         number = F.size(F.filter(cuts, lambda edge: edge < F.col(HASH)))
     else:
-        number = F.floor(F.col(HASH) / F.lit(HASH_RANGE / folds))
+        passed = [F.col(HASH) >= hash_bound(i / folds) for i in range(1, folds)]
+        number = sum((condition.cast("int") for condition in passed), F.lit(0))
     return hashed.withColumn(fold, number.cast("int")).select(*df.columns, fold)

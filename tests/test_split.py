@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from oddsmith.functions import HASH_RANGE, key_hash
-from oddsmith.operators.cutoffs import HASH, Stratum, hash_cutoffs
+from oddsmith.functions import hash_bound, key_hash
+from oddsmith.operators.cutoffs import HASH, Stratum, _passes, hash_cutoffs
 from oddsmith.operators.split import (
     DateSplit,
     _share_out,
@@ -89,9 +89,10 @@ def test_anchor_windows():
 
 def test_hash_is_spread_and_repeatable(spark):
     hashed = spark.range(20_000).select("id", key_hash(["id"], 42).alias("h"))
-    row = hashed.agg(F.min("h"), F.max("h"), F.avg("h"), F.countDistinct("h")).first()
-    assert 0 <= row[0] and row[1] < HASH_RANGE and row[3] == 20_000
-    assert abs(row[2] / HASH_RANGE - 0.5) < 0.01
+    for share in (0.1, 0.5, 1 / 3):
+        below = hashed.filter(F.col("h") < hash_bound(share)).count()
+        assert abs(below / 20_000 - share) < 0.01
+    assert hashed.select("h").distinct().count() == 20_000
     again = spark.range(20_000).repartition(3).select("id", key_hash(["id"], 42).alias("h"))
     assert hashed.exceptAll(again).count() == 0
 
@@ -155,13 +156,19 @@ def test_cutoffs_of_a_large_table_equal_those_of_a_small_one(spark):
     strata = [Stratum((0,), 1667), Stratum((1,), 1667), Stratum((2,), 1666)]
     ranks = [[0, 1, 500], [10, 1000, 1667], [400, 800, 1200]]
     once = hash_cutoffs(hashed, ["s"], strata, ranks)
-    narrowed = hash_cutoffs(hashed, ["s"], strata, ranks, small=0)
-    assert once == narrowed
+    for small in (0, 2_000):
+        assert hash_cutoffs(hashed, ["s"], strata, ranks, small=small) == once
     by_stratum = [sorted(r[HASH] for r in hashed.filter(f"s = {s}").collect()) for s in range(3)]
-    brute = [[hs[k - 1] if k else -1 for k in ks] for hs, ks in zip(by_stratum, ranks)]
+    brute = [[hs[k - 1] if k else "" for k in ks] for hs, ks in zip(by_stratum, ranks)]
     assert once == brute
 
 
+def test_passes_grow_with_the_table():
+    assert _passes(10**6, 1 << 20) == [32]
+    assert _passes(10**10, 1 << 20) == [4, 32]
+    assert _passes(10**13, 1 << 20) == [4, 8, 32]
+
+
 def test_a_hot_key_keeps_its_rows_together(spark):
     frame = spark.range(900).select(F.expr("IF(id < 300, 0, id)").alias("k"))
     for small in (True, False):
