@@ -24,6 +24,8 @@ from oddsmith.functions import quoted, required_number, required_outcome
 ROWS_PER_BUCKET = 1 << 18
 MAX_BUCKETS = 1 << 16
 SAMPLES_PER_BUCKET = 20
+# No bound changes a result, so few rows do with this one.
+ANY_BOUNDS = [0.0]
 # Products of two row counts leave the range of a long beyond 3e9 rows. Per score
 # they are summed in two long parts, which code generation handles fast; the wide
 # decimal type takes over for the bucket totals.
@@ -41,12 +43,12 @@ def score_bounds(scores: DataFrame, rows: int | None, rows_per_bucket: int) -> l
     rows = scores.count() if rows is None else rows
     buckets = min(-(-rows // rows_per_bucket), MAX_BUCKETS)
     if buckets < 2:
-        return []
+        return ANY_BOUNDS
     share = min(1.0, buckets * SAMPLES_PER_BUCKET / rows)
     sample = scores.sample(share, seed=7).toArrow().column(0).to_numpy()
     sample = np.sort(sample[np.isfinite(sample)])
     if not len(sample):
-        return []
+        return ANY_BOUNDS
     edges = sample[(np.arange(1, buckets) * len(sample)) // buckets]
     return np.unique(edges).tolist()
 
@@ -70,8 +72,6 @@ def _counts(rows: DataFrame, key: str) -> DataFrame:
 
 def _bucketed(frame: DataFrame, bounds: list[float]) -> DataFrame:
     """Add the ``_bucket`` of each ``_score``: a binary search over the bounds."""
-    if not bounds:
-        return frame.withColumn("_bucket", F.lit(0))
     cut = Bucketizer(
         splits=[-np.inf, *bounds, np.inf], inputCol="_score", outputCol="_cut"
     ).transform(frame)

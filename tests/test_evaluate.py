@@ -97,6 +97,21 @@ def test_scores_fold_before_the_first_shuffle(lines):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_points_move_once_more_after_counting(spark, lines):
+    """Where bucket totals are too many to broadcast, they come to the points."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = roc_points(lines, "y", "s", "l_linestatus", rows_per_bucket=400)
+        plan = plan_of(points)
+        assert "SortMergeJoin" in plan
+        # Points: by score, by bucket. Totals: by bucket, by group, to the join.
+        assert plan.count("Exchange hashpartitioning") == 5
+        joined = points.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joined == roc_points(lines, "y", "s", "l_linestatus").count()
+
+
 def test_groups(spark, lines):
     together = {
         r["l_linestatus"]: r["auc"]
