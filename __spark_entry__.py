@@ -43,7 +43,12 @@ from oddsmith.operators.models import (
 from oddsmith.operators.profile import mean_by, outcome_rate, split_shapes, target_distribution
 from oddsmith.operators.regression import LinearFit
 from oddsmith.operators.schema import shorten_columns
-from oddsmith.operators.search import boosted_tree_search, logistic_search, search_results
+from oddsmith.operators.search import (
+    boosted_tree_search,
+    logistic_search,
+    random_forest_search,
+    search_results,
+)
 from oddsmith.operators.split import (
     DateSplit,
     anchor_windows,
@@ -621,6 +626,14 @@ def grid_logistic(spark, sf_dir):
     return search_results(found, train)
 
 
+@query("grid_search_forest")
+def grid_forest(spark, sf_dir):
+    prepared = _order_features(spark, sf_dir)
+    search = random_forest_search(depths=(4,), rows_per_leaf=(2,), n_trees=(5,))
+    train = prepared.rows("train").drop("split")
+    return search_results(search.fit(train, "o_orderkey"), train)
+
+
 # --- runs
 
 

@@ -99,6 +99,9 @@ def grid_search(
     ``train`` holds the key, the label and whatever the estimator reads. Folds come
     from the key hash, so no row changes its fold when a task runs again. The
     cross-validator keeps the rows of one fold at a time.
+
+    An encoder fitted beforehand has seen all train rows. To fit it anew without
+    each fold, search over a ``Pipeline`` of encoder and classifier on raw rows.
     """
     ensure_checkpoint_dir(train.sparkSession)
     keys = [key] if isinstance(key, str) else list(key)

@@ -6,7 +6,7 @@ categories, models), one AUC per split, and the run-log entries.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -28,6 +28,7 @@ from oddsmith.session import ensure_checkpoint_dir, ready_for_passes
 from oddsmith.sources.small import small_frame
 
 SCORE = "score"
+FEATURES = "features"
 
 
 @dataclass(frozen=True)
@@ -72,14 +73,13 @@ class PreparedData:
     """
 
     data: ExperimentData
-    encoder: PipelineModel
+    encoder: Model
     names: list[str]
 
     def rows(self, *splits: str) -> DataFrame:
         """Key, split, label and feature vector."""
         encoded = self.encoder.transform(self.data.rows(*splits))
-        vector = self.encoder.stages[-1].getOutputCol()
-        return encoded.select(self.data.key, self.data.dates.split, LABEL, vector)
+        return encoded.select(self.data.key, self.data.dates.split, LABEL, FEATURES)
 
 
 def fit_on(train: DataFrame, estimator: Estimator, key: str) -> Model:
@@ -89,10 +89,20 @@ def fit_on(train: DataFrame, estimator: Estimator, key: str) -> Model:
         return estimator.fit(ready.drop(key))
 
 
-def prepare(data: ExperimentData, encoder: FeatureEncoder) -> PreparedData:
-    """Fit the encoder, on train rows only."""
+def prepare(
+    data: ExperimentData,
+    encoder: FeatureEncoder | Estimator,
+    names: Callable[[Model], list[str]] | None = None,
+) -> PreparedData:
+    """Fit the encoder, on train rows only.
+
+    Any estimator will do whose model adds a vector ``features``; ``names`` tells
+    the features of one that is no ``FeatureEncoder``.
+    """
     fitted = encoder.fit(data.rows("train"))
-    return PreparedData(data, fitted, feature_names(fitted, encoder.prefix))
+    if names is not None:
+        return PreparedData(data, fitted, names(fitted))
+    return PreparedData(data, fitted, feature_names(fitted, getattr(encoder, "prefix", "")))
 
 
 @dataclass(frozen=True)

@@ -1,9 +1,12 @@
 import re
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import functions as F
 
 from oddsmith.operators.evaluate import roc_auc
+from oddsmith.operators.features import feature_names
 from oddsmith.operators.models import PenalizedLogit, boosted_trees, random_forest, score
 from oddsmith.operators.search import Search, logistic_search
 from oddsmith.operators.split import DateSplit
@@ -129,13 +132,26 @@ def test_search_in_a_run(prepared):
     assert run.aucs["val"] > 0.8 and len(run.fitted.avgMetrics) == 1
 
 
+def test_encoder_refitted_for_each_fold(prepared):
+    encoder = presets.lead_encoder(["f1"], ["i1"], ["b1"])
+    logit = PenalizedLogit()
+    search = Search(Pipeline(stages=[encoder, logit]), [{logit.C: 0.1}], folds=2)
+    found = search.fit(prepared.data.rows("train").drop("split"), "lead_id")
+    assert found.avgMetrics[0] > 0.8
+    assert feature_names(found.bestModel) == prepared.names
+
+
+def test_any_encoder_with_names(prepared):
+    encoder = Pipeline(stages=[Imputer(inputCols=["f1"], outputCols=["f1_filled"]),
+                               VectorAssembler(inputCols=["f1_filled"], outputCol="features")])
+    own = prepare(prepared.data, encoder, names=lambda model: ["filled"])
+    run = run_experiment(own, random_forest(n_trees=3))
+    assert [tuple(r) for r in run.importances.collect()] == [("filled", 1.0)]
+    assert prepare(prepared.data, encoder).names == ["f1_filled"]
+
+
 def test_log_table_and_best_run(spark, prepared):
     spark.sql("CREATE DATABASE IF NOT EXISTS runs")
-    weak = DateSplit("create_date", "2022-08-31", "2022-09-30")
-    assert prepared.data.dates == DateSplit(
-        "create_date", presets.anchor_windows("2022-10-30").val_start,
-        presets.anchor_windows("2022-10-30").test_start)
-    assert weak.column == "create_date"
     found = run_experiments(
         prepared,
         {"forest": random_forest(n_trees=2, max_depth=1), "logit": PenalizedLogit()},
@@ -203,5 +219,6 @@ def test_splits_work_on_streams(spark, prepared, tmp_path):
 def test_data_needs_its_columns(leads):
     with pytest.raises(ValueError, match="no such column"):
         presets.lead_data(leads, ["nope"], ["i1"], ["b1"])
-    data = ExperimentData(leads, "target", ["f1"], "lead_id", DateSplit("create_date", "2022-09-01", "2022-10-01"))
+    dates = DateSplit("create_date", "2022-09-01", "2022-10-01")
+    data = ExperimentData(leads, "target", ["f1"], "lead_id", dates)
     assert data.rows().columns == ["lead_id", "split", "label", "f1"]

@@ -124,7 +124,8 @@ def test_linear_fit(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 2))
     y = 3 + x @ [2.0, -1.0] + rng.normal(scale=0.1, size=500)
-    frame = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, y double")
+    rows = [(*map(float, r), float(t)) for r, t in zip(x, y)]
+    frame = spark.createDataFrame(rows, "a double, b double, y double")
     for intercept in (True, False):
         design = np.column_stack([x, np.ones(500)]) if intercept else x
         exact, *_ = np.linalg.lstsq(design, y, rcond=None)

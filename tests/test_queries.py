@@ -17,6 +17,8 @@ ROWS_ONLY = {
     "logreg_scores": lambda rows: all(0 <= r["score"] <= 1 for r in rows),
     "feature_importance": lambda rows: abs(sum(r["importance"] for r in rows) - 1) < 1e-9,
     "grid_search": lambda rows: len(rows) == 2 and all(0 <= r["mean_auc"] <= 1 for r in rows),
+    "grid_search_forest": lambda rows: {"bootstrap=True", "bootstrap=False"}
+    == {r["params"].split(",")[0] for r in rows},
     "grid_search_logistic": lambda rows: len(rows) == 2,
     "experiment_train_val": lambda rows: {r["split"] for r in rows} == {"train", "val"},
     "experiment_train_val_test": lambda rows: {r["split"] for r in rows}
