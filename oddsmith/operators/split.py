@@ -114,16 +114,12 @@ def split_by_dates(
     return DateSplit(column, val_start, test_start, **options).apply(df)
 
 
-def _test_rows(n: int, test_size: float) -> int:
-    # Rounding first keeps 0.1 * 30 at 3 and not at 4.
-    return math.ceil(round(test_size * n, 6))
-
-
 def _share_out(strata: Sequence[Stratum], test_size: float) -> list[int]:
-    """Test rows per stratum: its share of train rows rounded down, the rows left
-    over going to the largest remainders."""
+    """Test rows per stratum. All strata together have their share of rows, rounded
+    up; train rows per stratum are rounded down, those left over going to the
+    largest remainders."""
     total = sum(stratum.rows for stratum in strata)
-    n_train = total - _test_rows(total, test_size)
+    n_train = total - math.ceil(test_size * total)
     train = [stratum.rows * n_train // total for stratum in strata]
     by_remainder = sorted(
         range(len(strata)), key=lambda i: (-(strata[i].rows * n_train % total), i)

@@ -114,7 +114,7 @@ def test_exact_size(spark, test_size):
     for n in (3, 30, 101):
         split = split_random(spark.range(n), "id", test_size, exact=True)
         assert split.columns == ["id", "split"]
-        assert split.filter("split = 'test'").count() == math.ceil(round(test_size * n, 6))
+        assert split.filter("split = 'test'").count() == math.ceil(test_size * n)
         assert split.count() == n
 
 
