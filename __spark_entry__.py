@@ -749,6 +749,22 @@ def best(spark, sf_dir):
     return best_run(first, SPLIT_METRICS["val"])
 
 
+# --- training corpora, if the package for them is there
+
+try:
+    import corpus_pipeline
+    from oddsmith.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "oddsmith.llm"):
+        raise
+else:
+    _QUERIES.update(llm_queries.QUERIES)
+    _ORACLES.update(llm_queries.ORACLES)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The outcome rate of orders by priority."""
     return n_and_p(spark, "/root/testdata/sf0.001")
