@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +31,123 @@ def op8(spark, sf_dir):
     from oddsmith.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    from oddsmith.llm.suffix_dedup import remove_repeated_bytes
+
+    found = remove_repeated_bytes(table(spark, sf_dir, "documents"), length=50)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op1_compact_window_dedup")
+def op1(spark, sf_dir):
+    from oddsmith.llm.substring_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", "spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _scored(scores: DataFrame, divisor: int, held: int) -> DataFrame:
+    from oddsmith.llm.labelled import remainder
+
+    return scores.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", divisor) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    from oddsmith.llm.labelled import remainder
+    from oddsmith.llm.toxicity import toxicity_scores
+
+    documents = table(spark, sf_dir, "documents")
+    scores = toxicity_scores(documents, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return _scored(scores, 4, 2)
+
+
+@query("op9_quality_factorisation_machine")
+def op9(spark, sf_dir):
+    from oddsmith.llm.labelled import remainder
+    from oddsmith.llm.quality import quality_scores
+
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    scores = quality_scores(documents, labels, remainder("doc_id", 5) != 0, metadata=F.col("n_chars"))
+    return _scored(scores, 5, 0)
+
+
+@query("op3_language_ppm")
+def op3(spark, sf_dir):
+    from oddsmith.llm.labelled import remainder
+    from oddsmith.llm.language import predict_language
+
+    found = predict_language(table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2)
+    held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary(name: str = VOCABULARY) -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of a file of the installed public tokenizers."""
+    import public_tokenizers
+
+    from oddsmith.llm.bpe import load_ranks
+
+    return load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    from oddsmith.llm.bpe import decode, encode
+
+    ranks, pattern = vocabulary()
+    found = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op5_mix_to_target_weights")
+def op5(spark, sf_dir):
+    from oddsmith.llm.mixing import mix_to_targets
+
+    return mix_to_targets(table(spark, sf_dir, "documents"))
+
+
+@query("op6_exact_top_k")
+def op6(spark, sf_dir):
+    from oddsmith.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+@query("op7_scaled_sketch_fingerprint")
+def op7(spark, sf_dir):
+    from oddsmith.llm.fingerprint import fingerprints_beside_edits
+
+    found = fingerprints_beside_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.array_join("sketch", " ").alias("fingerprint"),
+        F.array_join("edited_sketch", " ").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )

@@ -90,9 +90,15 @@ class Words:
     hashes: np.ndarray
 
 
-def words_of(texts: Texts) -> Words:
+#: Bytes of plain words: letters, digits, and all of other scripts.
+PLAIN = np.ones(256, bool)
+PLAIN[:128] = [chr(b).isalnum() for b in range(128)]
+
+
+def words_of(texts: Texts, plain: bool = False) -> Words:
+    """The words; or with ``plain`` runs of letters and digits, without punctuation."""
     n = len(texts.data)
-    inside = ~_SPACE[texts.data]
+    inside = (PLAIN if plain else ~_SPACE)[texts.data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -139,3 +145,9 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return doc[new], h[new]
+
+
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of ranges of ``n`` from ``begin``, one range behind another."""
+    n = np.asarray(n).astype(np.int64)
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
