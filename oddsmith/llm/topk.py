@@ -85,7 +85,7 @@ def _scores(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         exact = np.array([[int(x) for x in row] for row in q], object).reshape(len(q), dim) @ (
             np.array([[int(x) for x in row] for row in v], object).reshape(len(v), dim).T
         )
-        found = np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+        found = np.clip(exact, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
     return q_ids, ids, found, q_ids[:, None] == ids[None, :]
 
 

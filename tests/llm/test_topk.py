@@ -14,7 +14,7 @@ def brute(rows, k, every=50):
     out = []
     for q, a in usable:
         if q % every == 0:
-            scores = [(-max(min(sum(x * y for x, y in zip(a, b)), 2**63 - 1), -(2**63)), i) for i, b in usable if i != q and len(a) == len(b)]
+            scores = [(-max(min(sum(x * y for x, y in zip(a, b)), 2**63 - 1), 1 - 2**63), i) for i, b in usable if i != q and len(a) == len(b)]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
