@@ -30,7 +30,7 @@ from oddsmith.llm.words import Texts, texts_of
 
 BATCH_BYTES = 4 << 20
 #: Text whose anchors meet in one task of a range.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 4 << 20
 #: An anchor in more batches than this is told apart, so that an operator can deal
 #: its occurrences to several tasks.
 HOT_BATCHES = 64
