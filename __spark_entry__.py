@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
+import tempfile
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,14 +37,16 @@ from oddsmith.operators.models import (
     PenalizedLogit,
     boosted_trees,
     feature_importance,
+    model_params,
     random_forest,
     score,
 )
 from oddsmith.operators.profile import mean_by, outcome_rate, split_shapes, target_distribution
 from oddsmith.operators.regression import LinearFit
-from oddsmith.operators.schema import shorten_columns
+from oddsmith.operators.schema import check_roles, shorten_columns
 from oddsmith.operators.search import (
     boosted_tree_search,
+    boosted_tree_search_short,
     logistic_search,
     random_forest_search,
     search_results,
@@ -62,6 +64,7 @@ from oddsmith.plans.experiment import (
     fit_on,
     prepare,
     run_experiment,
+    run_experiments,
 )
 from oddsmith.plans.runlog import (
     SPLIT_METRICS,
@@ -70,7 +73,10 @@ from oddsmith.plans.runlog import (
     best_run,
     run_log_rows,
 )
+from oddsmith.session import ensure_checkpoint_dir
 from oddsmith.sources import pull_sql, read_table, replace_table
+from oddsmith.sources.small import small_frame
+from oddsmith.sources.tables import save_local_frame, table_name
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -85,8 +91,14 @@ ORDER_SPLIT = """CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'train'
     WHEN o_orderdate < TIMESTAMP '2001-01-01' THEN 'val'
     WHEN o_orderdate >= TIMESTAMP '2001-01-01' THEN 'test' END"""
 SHIP_SPLIT = ORDER_SPLIT.replace("o_orderdate", "l_shipdate")
-ORDER_HASH = "md5('42:' || o_orderkey)"
-FOLD_HASH = "md5('fold-42:' || o_orderkey)"
+def _key_sql(seed: str, *keys: str) -> str:
+    """``key_hash`` in SQL."""
+    parts = [f"coalesce(length(CAST({k} AS VARCHAR)) || ':' || CAST({k} AS VARCHAR), '-')" for k in keys]
+    return f"md5('{seed}:' || {" || ':' || ".join(parts)})"
+
+
+ORDER_HASH = _key_sql("42", "o_orderkey")
+FOLD_HASH = _key_sql("fold-42", "o_orderkey")
 LINE_SCORE = "l_extendedprice + 100 * l_quantity"
 
 
@@ -131,14 +143,46 @@ def sql_pull(spark, sf_dir):
     )
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """The name of a scratch table: the one of the last run is dropped, so that each query
+    leaves one at most."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH}")
+    spark.sql(f"DROP TABLE IF EXISTS {table_name(SCRATCH, name)}")
+    return name
+
+
 @query("table_roundtrip", "SELECT * FROM orders")
 def table_roundtrip(spark, sf_dir):
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH}")
-    name = f"orders_{uuid.uuid4().hex}"
+    name = _scratch(spark, "orders_copy")
     replace_table(_table(spark, sf_dir, "orders"), name, SCRATCH)
     return read_table(spark, name, SCRATCH)
 
 
+@query("local_frame_saved", "SELECT n_nationkey, n_name FROM nation")
+def local_frame_saved(spark, sf_dir):
+    """A local frame of a small table, saved and read."""
+    local = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toPandas()
+    name = _scratch(spark, "nations")
+    save_local_frame(spark, local, name, SCRATCH)
+    return read_table(spark, name, SCRATCH)
+
+
+@query(
+    "feature_roles",
+    """SELECT * FROM (VALUES ('bigint', 'o_custkey'), ('double', 'o_totalprice'),
+                             ('string', 'o_orderstatus'), ('string', 'o_orderpriority')) AS t(role, feature)""",
+)
+def feature_roles(spark, sf_dir):
+    """Which features were accepted under which role."""
+    orders = _table(spark, sf_dir, "orders")
+    roles = {
+        "int": ["o_custkey"], "float": ["o_totalprice"], "string": ["o_orderstatus", "o_orderpriority"]
+    }
+    accepted = check_roles(orders, roles)
+    rows = [(kind, name) for name, kind in orders.dtypes if name in accepted]
+    return small_frame(spark, rows, "role string, feature string")
+
+
 # --- names and keys
 
 
@@ -294,24 +338,43 @@ def random_split_exact(spark, sf_dir):
 
 
 @query(
-    "split_stratified",
-    f"""WITH c AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1),
+    "split_random_composite",
+    f"""SELECT conv_id, turn, CASE WHEN row_number() OVER (ORDER BY {_key_sql("42", "conv_id", "turn")})
+                                <= ceil(count(*) OVER () * 0.25) THEN 'test'
+                                ELSE 'train' END AS split FROM conversations""",
+)
+def random_split_composite(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    return split_random(turns, ["conv_id", "turn"], exact=True).select("conv_id", "turn", "split")
+
+
+def _stratified_oracle(stratum: str) -> str:
+    return f"""WITH c AS (SELECT {stratum} AS s, count(*) AS n FROM orders GROUP BY 1),
         w AS (SELECT CAST(sum(n) AS BIGINT) AS a,
                      CAST(sum(n) - ceil(sum(n) * 0.25) AS BIGINT) AS b FROM c),
         q AS (SELECT s, n, n * b // a AS low, n * b % a AS rest, b FROM c, w),
-        r AS (SELECT s, n, low, row_number() OVER (ORDER BY rest DESC, s) AS place,
+        r AS (SELECT s, n, low, row_number() OVER (ORDER BY rest DESC, {_key_sql("stratum", "s")}) AS place,
                      b - sum(low) OVER () AS missing FROM q),
         k AS (SELECT s, n - low - CASE WHEN place <= missing THEN 1 ELSE 0 END AS tests FROM r),
-        h AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (
-                PARTITION BY o_orderstatus ORDER BY {ORDER_HASH}) AS place FROM orders)
-        SELECT o_orderkey, o_orderstatus,
+        h AS (SELECT o_orderkey, {stratum}, row_number() OVER (
+                PARTITION BY {stratum} ORDER BY {ORDER_HASH}) AS place FROM orders)
+        SELECT o_orderkey, {stratum},
                CASE WHEN place <= tests THEN 'test' ELSE 'train' END AS split
-        FROM h JOIN k ON h.o_orderstatus = k.s""",
-)
+        FROM h JOIN k ON h.{stratum} = k.s"""
+
+
+@query("split_stratified", _stratified_oracle("o_orderstatus"))
 def stratified_split(spark, sf_dir):
-    return split_random(
-        _table(spark, sf_dir, "orders"), "o_orderkey", stratify="o_orderstatus"
-    ).select("o_orderkey", "o_orderstatus", "split")
+    orders = _table(spark, sf_dir, "orders")
+    split = split_random(orders, "o_orderkey", stratify="o_orderstatus")
+    return split.select("o_orderkey", "o_orderstatus", "split")
+
+
+@query("split_stratified_by_customer", _stratified_oracle("o_custkey"))
+def stratified_split_by_customer(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    split = split_random(orders, "o_orderkey", stratify="o_custkey")
+    return split.select("o_orderkey", "o_custkey", "split")
 
 
 @query(
@@ -578,105 +641,306 @@ def variance_explained(spark, sf_dir):
 
 
 # --- classifiers
+#
+# A planted target, a price beyond 300,000 with one order in ten flipped, and the flag that
+# tells it. With one 0/1 feature a fitted model has two scores, one per cell of the
+# flag, so SQL can follow whole fits over whole tables.
 
 
-def _scores(spark: SparkSession, sf_dir: str, estimator) -> DataFrame:
+def _planted_orders(spark: SparkSession, sf_dir: str, *more: TrueFlag) -> PreparedData:
+    orders = _table(spark, sf_dir, "orders").select(
+        "*",
+        F.expr("o_totalprice > 300000").alias("large"),
+        F.expr("o_orderkey % 2 = 0").alias("even"),
+        F.expr(f"CAST({_PLANTED} AS int)").alias("target"),
+    )
+    encoder = FeatureEncoder([TrueFlag(["large"]), *more])
+    data = ExperimentData(orders, "target", encoder.inputs, "o_orderkey", ORDER_DATES)
+    return prepare(data, encoder)
+
+
+_PLANTED = "(o_totalprice > 300000) <> (o_orderkey % 10 = 0)"
+# Rows ``t``, and rows and positives of each cell of the train rows.
+_CELLS = f"""t AS (SELECT o_orderkey, {ORDER_SPLIT} AS split, CAST({_PLANTED} AS INT) AS label,
+                CAST(o_totalprice > 300000 AS INT) AS f FROM orders),
+        cells AS (SELECT f, CAST(count(*) AS DOUBLE) AS n, CAST(sum(label) AS DOUBLE) AS p
+                  FROM t WHERE split = 'train' GROUP BY f)"""
+# The first tree fits 2 * label - 1, each later one the negative gradient of the loss
+# 2 * log(1 + exp(-2 * y * margin)), whose mean in a cell is the tree's value there.
+_BOOSTED = f"""WITH RECURSIVE {_CELLS},
+        grown AS (SELECT 1 AS trees, f, p / n AS q, 2 * p / n - 1 AS margin FROM cells
+            UNION ALL
+            SELECT trees + 1, f, q, margin + 0.05 * (q * 4 / (1 + exp(2 * margin))
+                                                   - (1 - q) * 4 / (1 + exp(-2 * margin)))
+            FROM grown WHERE trees < 100),
+        scores AS (SELECT f, 1 / (1 + exp(-2 * margin)) AS score FROM grown WHERE trees = 100)"""
+_FOREST = f"WITH {_CELLS}, scores AS (SELECT f, p / n AS score FROM cells)"
+# Newton steps for sum(loss) + w * w / (2 * C), C = 1, over two cells: margins b and b + w.
+_LOGIT = f"""WITH RECURSIVE {_CELLS},
+        wide AS (SELECT max(n) FILTER (f = 0) AS n0, max(p) FILTER (f = 0) AS p0,
+                        max(n) FILTER (f = 1) AS n1, max(p) FILTER (f = 1) AS p1 FROM cells),
+        newton AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b FROM wide
+            UNION ALL
+            SELECT step + 1,
+                   w - ((h0 + h1) * gw - h1 * gb) / ((h1 + 1) * (h0 + h1) - h1 * h1),
+                   b - ((h1 + 1) * gb - h1 * gw) / ((h1 + 1) * (h0 + h1) - h1 * h1)
+            FROM (SELECT step, w, b,
+                         n1 / (1 + exp(-b - w)) - p1 + w AS gw,
+                         n1 / (1 + exp(-b - w)) - p1 + n0 / (1 + exp(-b)) - p0 AS gb,
+                         n1 / (1 + exp(-b - w)) / (1 + exp(b + w)) AS h1,
+                         n0 / (1 + exp(-b)) / (1 + exp(b)) AS h0
+                  FROM newton, wide WHERE step < 25)),
+        scores AS (SELECT f, 1 / (1 + exp(-b - w * f)) AS score
+                   FROM newton, (SELECT 0 AS f UNION ALL SELECT 1) WHERE step = 25)"""
+_SCORED = "SELECT o_orderkey, split, label, round(score, {}) AS score FROM t JOIN scores USING (f) WHERE split IS NOT NULL"
+# The AUC of a flag as score: ties count half.
+_FLAG_AUC = """(CAST(2 * sum(label * f) * sum((1 - label) * (1 - f)) + sum(label * f) * sum((1 - label) * f)
+            + sum(label * (1 - f)) * sum((1 - label) * (1 - f)) AS DOUBLE)
+            / CAST(2 * sum(label) * sum(1 - label) AS DOUBLE))"""
+
+
+def _scores(spark: SparkSession, sf_dir: str, estimator, digits: int) -> DataFrame:
     """Fit on the train orders, score all of them."""
-    prepared = _order_features(spark, sf_dir)
-    model = fit_on(prepared.rows("train").drop("split"), estimator, "o_orderkey")
-    return score(model, prepared.rows()).select("o_orderkey", "split", LABEL, "score")
+    prepared = _planted_orders(spark, sf_dir)
+    _checkpoints(spark)
+    model = fit_on(prepared.train_rows(), estimator, "o_orderkey")
+    rounded = F.round("score", digits).alias("score")
+    return score(model, prepared.rows()).select("o_orderkey", "split", LABEL, rounded)
+
 
+def _checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints where the session names none, as on one machine."""
+    if ensure_checkpoint_dir(spark) is None:
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="checkpoint-"))
 
-@query("gbt_scores")
+
+def _whole_forest(**options):
+    """Trees over all rows: equal ones, so their mean is a cell's mean."""
+    return random_forest(bootstrap=False, **options)
+
+
+@query("gbt_scores", f"{_BOOSTED} {_SCORED.format(9)}")
 def gbt_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, boosted_trees(n_trees=10))
+    return _scores(spark, sf_dir, boosted_trees(n_trees=100), 9)
 
 
-@query("rf_scores")
+@query("rf_scores", f"{_FOREST} {_SCORED.format(9)}")
 def rf_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, random_forest(n_trees=20))
+    return _scores(spark, sf_dir, _whole_forest(n_trees=100), 9)
 
 
-@query("logreg_scores")
+@query("logreg_scores", f"{_LOGIT} {_SCORED.format(3)}")
 def logreg_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, PenalizedLogit(C=1.0, penalty="l2"))
+    return _scores(spark, sf_dir, PenalizedLogit(C=1.0, penalty="l2"), 3)
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    f"""WITH t AS (SELECT CAST({_PLANTED} AS INT) AS label, o_totalprice > 300000 AS large,
+                          o_orderkey % 2 = 0 AS even FROM orders
+                   WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+        g AS (SELECT feature, sum(n * (1 - (p * p + (n - p) * (n - p)) / (n * n))) AS impurity
+              FROM (SELECT 'large' AS feature, large AS v, CAST(count(*) AS DOUBLE) AS n,
+                           CAST(sum(label) AS DOUBLE) AS p FROM t GROUP BY large
+                    UNION ALL SELECT 'even', even, count(*), sum(label) FROM t GROUP BY even)
+              GROUP BY feature)
+        SELECT feature, CASE WHEN impurity = min(impurity) OVER () THEN 1.0 ELSE 0.0 END AS importance,
+               CAST(row_number() OVER (ORDER BY impurity) AS INT) AS place FROM g""",
+)
 def importances(spark, sf_dir):
-    prepared = _order_features(spark, sf_dir)
-    train = prepared.rows("train").drop("split")
-    model = fit_on(train, random_forest(n_trees=20), "o_orderkey")
-    return feature_importance(model, prepared.names, prepared.data.df)
-
-
-@query("grid_search")
+    """Of trees with one split: the best feature has it all. The order is part of it."""
+    prepared = _planted_orders(spark, sf_dir, TrueFlag(["even"]))
+    forest = _whole_forest(n_trees=20, max_depth=1, featureSubsetStrategy="all")
+    model = fit_on(prepared.train_rows(), forest, "o_orderkey")
+    found = feature_importance(model, prepared.names, prepared.data.df).collect()
+    rows = [(r["feature"], r["importance"], at + 1) for at, r in enumerate(found)]
+    return small_frame(spark, rows, "feature string, importance double, place int")
+
+
+def _search_oracle(candidates: str, weightless: str = "FALSE") -> str:
+    """Mean AUC over the folds. Any model that learns orders the two cells alike, so all
+    have the flag's AUC; one whose weight is zero ties every score."""
+    return f"""WITH {_CELLS},
+        h AS (SELECT label, f, row_number() OVER (PARTITION BY label ORDER BY {FOLD_HASH}) AS place,
+                     count(*) OVER (PARTITION BY label) AS m FROM t WHERE split = 'train'),
+        folded AS (SELECT label, f, CASE WHEN place <= m // 4 THEN 0 WHEN place <= m * 2 // 4 THEN 1
+                   WHEN place <= m * 3 // 4 THEN 2 ELSE 3 END AS fold FROM h),
+        out_of AS (SELECT fold, {_FLAG_AUC} AS auc FROM folded GROUP BY fold),
+        fitted AS (SELECT o.fold, abs(sum(CASE WHEN i.f = 1 THEN i.label - y.mean END)) AS slope
+                   FROM (SELECT DISTINCT fold FROM folded) o JOIN folded i ON i.fold <> o.fold
+                   JOIN (SELECT a.fold, avg(b.label) AS mean FROM (SELECT DISTINCT fold FROM folded) a
+                         JOIN folded b ON b.fold <> a.fold GROUP BY a.fold) y ON y.fold = o.fold
+                   GROUP BY o.fold),
+        candidates AS ({candidates})
+        SELECT CAST(candidate AS INT) AS candidate, params,
+               round(avg(CASE WHEN {weightless} THEN 0.5 ELSE auc END), 9) AS mean_auc
+        FROM candidates, out_of JOIN fitted USING (fold) GROUP BY candidate, params"""
+
+
+def _listed(sets) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS candidate, '{params}' AS params, {c} AS c, '{penalty}' AS penalty"
+                              for i, (params, c, penalty) in enumerate(sets))
+
+
+def _searched(spark: SparkSession, sf_dir: str, search) -> DataFrame:
+    prepared = _planted_orders(spark, sf_dir)
+    _checkpoints(spark)
+    found = search.fit(prepared.train_rows(), "o_orderkey")
+    results = search_results(found, prepared.data.df)
+    return results.withColumn("mean_auc", F.round("mean_auc", 9))
+
+
+_BOOSTED_SETS = [(f"maxDepth={d}, maxIter={n}, stepSize={r}", 0, "") for d in (2, 3) for n in (2, 3) for r in (0.05, 0.1)]
+_SHORT_SETS = [(f"maxDepth={d}, maxIter={n}, stepSize={r}", 0, "") for d in (2, 3) for n in (2, 4) for r in (0.3, 0.01)]
+_FOREST_SETS = [
+    (f"bootstrap={b}, featureSubsetStrategy=sqrt, maxDepth={d}, minInstancesPerNode={m}, numTrees={n}", 0, "")
+    for b in (True, False) for d in (2, 4) for m in (1, 2) for n in (2, 3)
+]
+_LOGIT_SETS = [
+    (f"C={c}, penalty={penalty}", c, penalty)
+    for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0) for penalty in ("l1", "l2")
+]
+
+
+@query("grid_search", _search_oracle(_listed(_BOOSTED_SETS)))
 def grid(spark, sf_dir):
-    prepared = _order_features(spark, sf_dir)
-    search = boosted_tree_search(depths=(2, 3), n_trees=(3,), learning_rates=(0.1,))
-    train = prepared.rows("train").drop("split")
-    return search_results(search.fit(train, "o_orderkey"), train)
+    """8 of the 256 sets, two of each dimension: 32 fits and one of the best."""
+    return _searched(
+        spark, sf_dir, boosted_tree_search(depths=(2, 3), n_trees=(2, 3), learning_rates=(0.05, 0.1))
+    )
 
 
-@query("grid_search_logistic")
-def grid_logistic(spark, sf_dir):
-    prepared = _order_features(spark, sf_dir)
-    train = prepared.rows("train").drop("split")
-    found = logistic_search(strengths=(1.0,)).fit(train, "o_orderkey")
-    return search_results(found, train)
+@query("grid_search_short", _search_oracle(_listed(_SHORT_SETS)))
+def grid_short(spark, sf_dir):
+    """8 sets, two of each dimension of the second boosted grid (128 sets)."""
+    return _searched(
+        spark, sf_dir, boosted_tree_search_short(depths=(2, 3), n_trees=(2, 4), learning_rates=(0.3, 0.01))
+    )
 
 
-@query("grid_search_forest")
+@query("grid_search_forest", _search_oracle(_listed(_FOREST_SETS)))
 def grid_forest(spark, sf_dir):
-    prepared = _order_features(spark, sf_dir)
-    search = random_forest_search(depths=(4,), rows_per_leaf=(2,), n_trees=(5,))
-    train = prepared.rows("train").drop("split")
-    return search_results(search.fit(train, "o_orderkey"), train)
+    """16 of the 126 sets, two of each dimension that has more than one: 64 fits and one."""
+    search = random_forest_search(depths=(2, 4), rows_per_leaf=(1, 2), n_trees=(2, 3))
+    return _searched(spark, sf_dir, search)
+
+
+@query(
+    "grid_search_logistic",
+    # The gradient at a weight of zero says whether the l1 penalty leaves any.
+    _search_oracle(_listed(_LOGIT_SETS), "penalty = 'l1' AND c * slope <= 1"),
+)
+def grid_logistic(spark, sf_dir):
+    """All 14 sets: 56 fits and one of the best."""
+    return _searched(spark, sf_dir, logistic_search())
 
 
 # --- runs
 
+_SPLIT_AUCS = f"aucs AS (SELECT split, {_FLAG_AUC} AS auc FROM t WHERE split IS NOT NULL GROUP BY split)"
+
+
+def _metrics_oracle(splits: str) -> str:
+    return f"""WITH {_CELLS}, {_SPLIT_AUCS}
+        SELECT split, auc, CAST({BASELINE} AS DOUBLE) AS baseline_auc, auc - {BASELINE} AS lift
+        FROM aucs WHERE split IN ({splits})"""
+
+
+def _run(spark: SparkSession, sf_dir: str, estimator, *splits: str, **options):
+    _checkpoints(spark)
+    return run_experiment(_planted_orders(spark, sf_dir), estimator, splits=splits, **options)
 
-@query("experiment_train_val")
+
+@query("experiment_train_val", _metrics_oracle("'train', 'val'"))
 def experiment_train_val(spark, sf_dir):
-    run = run_experiment(
-        _order_features(spark, sf_dir), boosted_trees(n_trees=5), baseline_auc=BASELINE
-    )
+    run = _run(spark, sf_dir, boosted_trees(n_trees=10), "train", "val", baseline_auc=BASELINE)
     return run.metrics
 
 
-@query("experiment_train_val_test")
+@query("experiment_train_val_test", _metrics_oracle("'train', 'val', 'test'"))
 def experiment_train_val_test(spark, sf_dir):
-    run = run_experiment(
-        _order_features(spark, sf_dir),
-        random_forest(n_trees=10),
-        splits=("train", "val", "test"),
-        baseline_auc=BASELINE,
-    )
-    return run.metrics
+    forest = _whole_forest(n_trees=100)
+    return _run(spark, sf_dir, forest, "train", "val", "test", baseline_auc=BASELINE).metrics
 
 
-@query("experiment_roc")
+@query(
+    "experiment_roc",
+    f"""{_FOREST},
+        s AS (SELECT split, score, sum(label) AS p, sum(1 - label) AS n
+              FROM t JOIN scores USING (f) WHERE split IS NOT NULL GROUP BY split, score),
+        r AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY split) AS pos,
+                     sum(n) OVER (PARTITION BY split) AS neg FROM s
+              WINDOW w AS (PARTITION BY split ORDER BY score DESC))
+        SELECT split, round(score, 9) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+               CAST(tp AS DOUBLE) / CAST(pos AS DOUBLE) AS tpr, CAST(fp AS DOUBLE) / CAST(neg AS DOUBLE) AS fpr
+        FROM r""",
+)
 def experiment_roc(spark, sf_dir):
-    run = run_experiment(
-        _order_features(spark, sf_dir),
-        PenalizedLogit(C=1.0, penalty="l2"),
-        splits=("train", "val", "test"),
-    )
-    return run.roc()
+    run = _run(spark, sf_dir, _whole_forest(n_trees=1), "train", "val", "test")
+    return run.roc().withColumn("threshold", F.round("threshold", 9))
 
 
-@query("experiment_log")
+@query(
+    "experiment_log",
+    f"""WITH {_CELLS}, {_SPLIT_AUCS}
+        SELECT 7 AS experiment_id, 'logit' AS run_name, 'metric' AS kind,
+               CASE split WHEN 'train' THEN 'TrainAUC' WHEN 'val' THEN 'ValAUC' ELSE 'TestAUC' END AS key,
+               CAST(NULL AS VARCHAR) AS value, auc AS value_num FROM aucs
+        UNION ALL SELECT 7, 'logit', 'metric', 'BaselineAUC', NULL, {BASELINE}
+        UNION ALL SELECT 7, 'logit', 'param', 'C', '0.1', NULL
+        UNION ALL SELECT 7, 'logit', 'param', 'penalty', 'l1', NULL
+        UNION ALL SELECT 7, 'logit', 'tag', 'description', 'all orders', NULL
+        UNION ALL SELECT 7, 'logit', 'tag', 'feature_names', 'large', NULL""",
+)
 def experiment_log(spark, sf_dir):
-    run = run_experiment(
-        _order_features(spark, sf_dir),
-        PenalizedLogit(C=0.1, penalty="l1"),
-        splits=("train", "val", "test"),
+    run = _run(
+        spark, sf_dir, PenalizedLogit(C=0.1, penalty="l1"), "train", "val", "test",
+        baseline_auc=BASELINE, description="all orders", run_name="logit", experiment_id=7,
+    )
+    # Of the parameters those that the estimator itself has; Spark's version is a tag, too.
+    told = "(kind <> 'param' OR key IN ('C', 'penalty')) AND key <> 'spark_version'"
+    return run.log.where(told).select("experiment_id", "run_name", "kind", "key", "value", "value_num")
+
+
+@query(
+    "model_params",
+    """SELECT 'C' AS key, '10.0' AS value UNION ALL SELECT 'penalty', 'l1'
+       UNION ALL SELECT 'elasticNetParam', '1.0' UNION ALL SELECT 'standardization', 'False'""",
+)
+def chosen_params(spark, sf_dir):
+    """Of a search over one set: its own parameters beside those of Spark's model."""
+    prepared = _planted_orders(spark, sf_dir)
+    search = logistic_search(strengths=(10.0,), penalties=("l1",))
+    found = model_params(search.fit(prepared.train_rows(), "o_orderkey"))
+    told = [(k, found[k]) for k in ("C", "penalty", "elasticNetParam", "standardization")]
+    return small_frame(spark, told, "key string, value string")
+
+
+@query(
+    "repeated_experiments",
+    f"""WITH {_CELLS}, {_SPLIT_AUCS}
+        SELECT experiment_id, run_name, auc AS value, CAST(3 AS BIGINT) AS runs
+        FROM aucs, (SELECT 422 AS experiment_id, 'forest' AS run_name) WHERE split = 'val'""",
+)
+def repeated_experiments(spark, sf_dir):
+    """Three runs over shared train rows, in one log; the best of equal ones is the first."""
+    _checkpoints(spark)
+    runs = run_experiments(
+        _planted_orders(spark, sf_dir),
+        {
+            "logit": PenalizedLogit(C=1.0, penalty="l2"),
+            "forest": _whole_forest(n_trees=5),
+            "trees": boosted_trees(n_trees=5),
+        },
+        experiment_id=422,
         baseline_auc=BASELINE,
-        description="all orders",
-        run_name="logit",
     )
-    return run.log.select("experiment_id", "run_name", "kind", "key", "value", "value_num")
+    name = _scratch(spark, "repeated_runs")
+    for told, run in runs.items():
+        append_run_log(run.log.withColumn("run_name", F.lit(told)), name, SCRATCH)
+    log = read_table(spark, name, SCRATCH)
+    count = F.lit(log.select("run_id").distinct().count())
+    return best_run(log, SPLIT_METRICS["val"]).drop("run_id").withColumn("runs", count.cast("long"))
 
 
 # Fixed scores stand for models, so that SQL can follow the whole run log.
@@ -728,8 +992,7 @@ def _candidate_runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         FROM runs""",
 )
 def run_log(spark, sf_dir):
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH}")
-    name = f"run_log_{uuid.uuid4().hex}"
+    name = _scratch(spark, "fixed_runs")
     for rows in _candidate_runs(spark, sf_dir):
         append_run_log(rows, name, SCRATCH)
     log = read_table(spark, name, SCRATCH).filter(F.col("kind") == "metric")

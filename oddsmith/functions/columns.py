@@ -78,9 +78,12 @@ def key_hash(keys: Sequence[str | Column], seed: int | str) -> Column:
     It depends on nothing but seed and key, so a recomputed task, another
     partitioning or another engine with MD5 draws the same. Text of one length
     sorts as the numbers do; turning it into numbers would cost more than the hash.
+    Each part is its length, a colon and its text, or a dash for NULL, so that no two
+    keys are hashed as one text.
     """
     columns = [F.col(key) if isinstance(key, str) else key for key in keys]
-    text = [F.coalesce(column.cast("string"), F.lit("")) for column in columns]
+    texts = [column.cast("string") for column in columns]
+    text = [F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *text))
 
 

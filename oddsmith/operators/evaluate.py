@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,14 @@ LOW_BITS = 20
 COUNT, PRODUCT = "decimal(19,0)", "decimal(38,0)"
 
 
-def score_bounds(scores: DataFrame, rows: int | None, rows_per_bucket: int) -> list[float]:
+def score_bounds(scores: DataFrame, rows_per_bucket: int) -> list[float]:
     """Bounds between buckets of about ``rows_per_bucket`` rows, from a sample.
 
     The sample holds at most some SAMPLES_PER_BUCKET * MAX_BUCKETS numbers. It only
     decides how even the buckets are. Duplicate bounds merge: a score held by many
     rows is one row once counted.
     """
-    rows = scores.count() if rows is None else rows
+    rows = scores.count()
     buckets = min(-(-rows // rows_per_bucket), MAX_BUCKETS)
     if buckets < 2:
         return ANY_BOUNDS
@@ -53,20 +55,21 @@ def score_bounds(scores: DataFrame, rows: int | None, rows_per_bucket: int) -> l
     return np.unique(edges).tolist()
 
 
-def _scored(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """``_by``, ``_score`` and the outcome ``_y`` of every row."""
+def _scored(df: DataFrame, label: str, score: str, by: Sequence[str], weight: str | None) -> DataFrame:
+    """``_by``, ``_score``, the outcome ``_y`` of every row, and how many rows it is."""
     # A struct equals itself also where its fields are NULL, so it can be a join key.
     return df.select(
         (F.struct(*by) if by else F.lit(0)).alias("_by"),
         required_number(F.col(score), "score").alias("_score"),
         required_outcome(F.col(label), label).alias("_y"),
+        (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"),
     )
 
 
 def _counts(rows: DataFrame, key: str) -> DataFrame:
     """Positives ``_p`` and negatives ``_n`` of each group and key."""
     return rows.groupBy("_by", key).agg(
-        F.expr("sum(_y) AS _p"), F.expr("count(_y) - sum(_y) AS _n")
+        F.expr("sum(_w * _y) AS _p"), F.expr("sum(_w * (1 - _y)) AS _n")
     )
 
 
@@ -90,18 +93,18 @@ def roc_auc(
     by: str | Sequence[str] = (),
     *,
     name: str = "auc",
-    rows: int | None = None,
+    weight: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counting half: one row per ``by`` group.
 
     NULL where a group has one outcome only. The scores are read two or three
-    times, so persist a frame whose scores are costly. ``rows``, if known, about
-    says how many there are and saves a count.
+    times, so persist a frame whose scores are costly. ``weight`` names a column of
+    counts, for rows that stand for several.
     """
     by = [by] if isinstance(by, str) else list(by)
-    scored = _scored(df, label, score, by)
-    bounds = score_bounds(scored.select("_score"), rows, rows_per_bucket)
+    scored = _scored(df, label, score, by, weight)
+    bounds = score_bounds(scored.select("_score"), rows_per_bucket)
     buckets = (
         _bucketed(_counts(scored, "_score"), bounds)
         # Twice the wins of one positive: it beats every negative below it and ties
@@ -153,7 +156,7 @@ def roc_points(
     by: str | Sequence[str] = (),
     *,
     origin: bool = False,
-    rows: int | None = None,
+    weight: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """The ROC curve as a table: for each distinct score as threshold, the true and
@@ -162,8 +165,8 @@ def roc_points(
     ``origin`` adds the point (0, 0) under an infinite threshold.
     """
     by = [by] if isinstance(by, str) else list(by)
-    scored = _scored(df, label, score, by)
-    bounds = score_bounds(scored.select("_score"), rows, rows_per_bucket)
+    scored = _scored(df, label, score, by, weight)
+    bounds = score_bounds(scored.select("_score"), rows_per_bucket)
     above = (
         "OVER (PARTITION BY _by ORDER BY _bucket DESC"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -233,23 +236,22 @@ def compare_with_baseline(metrics: DataFrame, baseline: float, name: str = "auc"
     return metrics.withColumn(f"baseline_{name}", base).withColumn("lift", F.col(name) - base)
 
 
-class RocAuc(Evaluator):
-    """The exact AUC of a model's probabilities, for cross-validation."""
+class RocAuc(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
+    """The exact AUC of a model's probabilities. Rows of one outcome have none: NaN."""
 
-    def __init__(
-        self, label: str = "label", probability: str = "probability", rows: int | None = None
-    ):
+    label = Param(Params._dummy(), "label", "outcome column", TypeConverters.toString)
+    probability = Param(Params._dummy(), "probability", "vector column", TypeConverters.toString)
+
+    def __init__(self, label: str = "label", probability: str = "probability"):
         super().__init__()
-        self.label = label
-        self.probability = probability
-        self.rows = rows
+        self._setDefault(label="label", probability="probability")
+        self._set(label=label, probability=probability)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        score = vector_to_array(self.probability)[1].alias("_probability")
-        scored = dataset.select(F.col(self.label).alias("_label"), score)
-        # Chance level stands in for a fold with one outcome, which has no AUC.
-        found = roc_auc(scored, "_label", "_probability", rows=self.rows).first()
-        return found["auc"] if found and found["auc"] is not None else 0.5
+        score = vector_to_array(self.getOrDefault(self.probability))[1].alias("_probability")
+        scored = dataset.select(F.col(self.getOrDefault(self.label)).alias("_label"), score)
+        found = roc_auc(scored, "_label", "_probability").first()
+        return found["auc"] if found and found["auc"] is not None else float("nan")
 
     def isLargerBetter(self) -> bool:
         return True

@@ -7,12 +7,21 @@ frames, and holds built-in expressions only.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +93,14 @@ class CodeMap:
 
 @dataclass(frozen=True)
 class Categories:
-    """A category as it is, missing being a value too. One-hot. More than
-    ``limit`` values raise: each would become a column."""
+    """A category as it is, missing being a value too. One-hot: a named column for each
+    value. ``wide`` is for categories of very many values: they are numbered, and encoded
+    as one sparse vector, without columns of their own. More than ``limit`` values raise,
+    if a limit is given."""
 
     column: str
-    limit: int = 1000
+    limit: int | None = None
+    wide: bool = False
 
     def encoded(self) -> str:
         return quoted(self.column)
@@ -108,7 +120,7 @@ def input_columns(branches: Iterable[Branch]) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-class FeatureEncoder(Estimator):
+class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Encode branches into named columns and one vector, in the order given.
 
     Named columns get ``prefix``. One-hot columns follow the sorted values seen in
@@ -117,9 +129,11 @@ class FeatureEncoder(Estimator):
     no branch are left out of the vector.
     """
 
+    spec = Param(Params._dummy(), "spec", "branches and options as JSON", TypeConverters.toString)
+
     def __init__(
         self,
-        branches: Sequence[Branch],
+        branches: Sequence[Branch] = (),
         *,
         output: str = "features",
         prefix: str = PREFIX,
@@ -128,10 +142,34 @@ class FeatureEncoder(Estimator):
         super().__init__()
         if handle_unknown not in ("error", "ignore"):
             raise ValueError("handle_unknown is 'error' or 'ignore'")
-        self.branches = list(branches)
-        self.output = output
-        self.prefix = prefix
-        self.handle_unknown = handle_unknown
+        told = {
+            "branches": [{"kind": type(branch).__name__, **vars(branch)} for branch in branches],
+            "output": output,
+            "prefix": prefix,
+            "handle_unknown": handle_unknown,
+        }
+        # The one place where the encoder keeps what it is, so that it can be saved.
+        self._set(spec=json.dumps(told))
+
+    def _told(self) -> dict:
+        return json.loads(self.getOrDefault(self.spec))
+
+    @property
+    def branches(self) -> list[Branch]:
+        kinds = {kind.__name__: kind for kind in (*_NUMERIC, KeepList, CodeMap, Categories)}
+        return [kinds[told.pop("kind")](**told) for told in self._told()["branches"]]
+
+    @property
+    def output(self) -> str:
+        return self._told()["output"]
+
+    @property
+    def prefix(self) -> str:
+        return self._told()["prefix"]
+
+    @property
+    def handle_unknown(self) -> str:
+        return self._told()["handle_unknown"]
 
     @property
     def inputs(self) -> list[str]:
@@ -142,6 +180,7 @@ class FeatureEncoder(Estimator):
         base: list[str] = []
         flags: list[str] = []
         features: list[str] = []
+        numbered: list[Model] = []
 
         def add(expressions: list[str], expression: str, label: str) -> None:
             name = self.prefix + re.sub(r"[.`]", "_", label)
@@ -161,6 +200,11 @@ class FeatureEncoder(Estimator):
             elif isinstance(branch, TrueFlag):
                 for column in branch.columns:
                     add(base, flag_true(quoted(column)), column)
+            elif isinstance(branch, Categories) and branch.wide:
+                category = f"_category_{at}"
+                base.append(f"{_told(branch)} AS {category}")
+                numbered += self._wide(dataset, branch, category)
+                features.append(f"{category}_hot")
             else:
                 category = f"_category_{at}"
                 base.append(f"{self._checked(branch, seen[at])} AS {category}")
@@ -175,6 +219,7 @@ class FeatureEncoder(Estimator):
             for expressions in (base, flags)
             if expressions
         ]
+        stages += numbered
         stages.append(VectorAssembler(inputCols=features, outputCol=self.output))
         return PipelineModel(stages)
 
@@ -197,10 +242,21 @@ class FeatureEncoder(Estimator):
                 means.update({c: row[f"m{at}_{i}"] for i, c in enumerate(branch.columns)})
             elif isinstance(branch, (KeepList, CodeMap)):
                 seen[at] = [v for i, v in enumerate(branch.values()) if row[f"v{at}_{i}"]]
-            elif isinstance(branch, Categories):
+            elif isinstance(branch, Categories) and not branch.wide:
                 seen[at] = _distinct_values(dataset, branch)
         return means, seen
 
+    def _wide(self, dataset: DataFrame, branch: Categories, category: str) -> list[Model]:
+        """Numbers of the sorted values, and a vector with a one at a value's number."""
+        told = dataset.selectExpr(f"{_told(branch)} AS {category}")
+        keep = self.handle_unknown == "ignore"
+        index = StringIndexer(
+            inputCol=category, outputCol=f"{category}_at", stringOrderType="alphabetAsc",
+            handleInvalid="keep" if keep else "error",
+        ).fit(told)
+        hot = OneHotEncoder(inputCol=f"{category}_at", outputCol=f"{category}_hot", dropLast=keep)
+        return [index, hot.fit(index.transform(told))]
+
     def _checked(self, branch: Branch, seen: Sequence) -> str:
         if self.handle_unknown == "ignore":
             return branch.encoded()
@@ -215,9 +271,15 @@ class FeatureEncoder(Estimator):
         )
 
 
+def _told(branch: Categories) -> str:
+    """A category as text; missing is the empty text, and other texts follow a mark."""
+    return f"coalesce(concat('=', CAST({quoted(branch.column)} AS STRING)), '')"
+
+
 def _distinct_values(dataset: DataFrame, branch: Categories) -> list:
-    found = dataset.select(branch.column).distinct().limit(branch.limit + 1).collect()
-    if len(found) > branch.limit:
+    distinct = dataset.select(branch.column).distinct()
+    found = (distinct if branch.limit is None else distinct.limit(branch.limit + 1)).collect()
+    if branch.limit is not None and len(found) > branch.limit:
         raise ValueError(f"{branch.column} has more than {branch.limit} values")
     values = [row[0] for row in found]
     return sorted(v for v in values if v is not None) + [None] * (None in values)
@@ -225,9 +287,20 @@ def _distinct_values(dataset: DataFrame, branch: Categories) -> list:
 
 def feature_names(model: PipelineModel, prefix: str = PREFIX) -> list[str]:
     """The features of a fitted encoder, or of a pipeline holding one, in vector order."""
+    values = {
+        stage.getOutputCol(): stage.labels for stage in model.stages if isinstance(stage, StringIndexerModel)
+    }
     for stage in reversed(model.stages):
         if isinstance(stage, VectorAssembler):
-            return [name.removeprefix(prefix) for name in stage.getInputCols()]
+            names: list[str] = []
+            for name in stage.getInputCols():
+                labels = values.get(name.removesuffix("_hot") + "_at")
+                if labels is None:
+                    names.append(name.removeprefix(prefix))
+                else:
+                    at = name.removesuffix("_hot")
+                    names += [f"{at}_{label[1:] if label else None}" for label in labels]
+            return names
         if isinstance(stage, PipelineModel):
             return feature_names(stage, prefix)
     raise ValueError("the pipeline assembles no features")

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
-
-from oddsmith.operators.evaluate import RocAuc
-from oddsmith.operators.models import LABEL, PenalizedLogit, boosted_trees, random_forest
+from pyspark.sql import functions as F
+
+from oddsmith.operators.evaluate import RocAuc, roc_auc
+from oddsmith.operators.models import (
+    LABEL,
+    PenalizedLogit,
+    boosted_trees,
+    random_forest,
+    score,
+    with_rows,
+)
 from oddsmith.operators.split import assign_folds
-from oddsmith.session import ensure_checkpoint_dir, ready_for_passes
+from oddsmith.session import kept, placed, require_checkpoints
 from oddsmith.sources.small import small_frame
 
+# Candidates whose scores of the left-out rows come from one pass.
+MODELS_PER_PASS = 8
+
 
 @dataclass(frozen=True)
 class Search:
@@ -27,8 +40,8 @@ class Search:
     seed: int = 42
     stratified: bool = True
 
-    def fit(self, train: DataFrame, key: str | Sequence[str], label: str = LABEL):
-        return grid_search(train, self, key, label)
+    def fit(self, train: DataFrame, key: str | Sequence[str], label: str = LABEL, **options):
+        return grid_search(train, self, key, label, **options)
 
 
 def _grid(choices: dict) -> list[dict]:
@@ -91,33 +104,82 @@ def logistic_search(
 
 
 def grid_search(
-    train: DataFrame, search: Search, key: str | Sequence[str], label: str = LABEL
+    train: DataFrame,
+    search: Search,
+    key: str | Sequence[str],
+    label: str = LABEL,
+    *,
+    partitions: int | None = None,
+    checkpoints: str | None = None,
 ) -> CrossValidatorModel:
     """Fit every parameter set on all folds but one, each fold left out once, then
     the best set on all train rows.
 
     ``train`` holds the key, the label and whatever the estimator reads. Folds come
-    from the key hash, so no row changes its fold when a task runs again. The
-    cross-validator keeps the rows of one fold at a time.
+    from the key hash, so no row changes its fold when a task runs again. The rows are
+    kept once; fold sizes are counted once; the candidates of a fold are scored
+    together, and one grouped job finds their AUCs. ``partitions`` places the rows, see
+    ``placed``. A fold whose left-out rows have one outcome has no AUC and no part in the
+    mean; a candidate without any AUC has NaN.
 
     An encoder fitted beforehand has seen all train rows. To fit it anew without
     each fold, search over a ``Pipeline`` of encoder and classifier on raw rows.
     """
-    ensure_checkpoint_dir(train.sparkSession)
+    require_checkpoints(train.sparkSession, search.estimator, checkpoints)
     keys = [key] if isinstance(key, str) else list(key)
     folded = assign_folds(
         train, keys, search.folds, search.seed, stratify=label if search.stratified else ()
     )
-    with ready_for_passes(folded, *keys) as (ready, rows):
-        return CrossValidator(
-            estimator=search.estimator,
-            estimatorParamMaps=search.grid,
-            evaluator=RocAuc(label, rows=rows // search.folds),
-            numFolds=search.folds,
-            foldCol="fold",
-            parallelism=search.parallelism,
-            seed=search.seed,
-        ).fit(ready.drop(*keys))
+    with kept(placed(folded, partitions, *keys).drop(*keys)) as rows:
+        sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+        total = sum(sizes.values())
+        found: list[list[float]] = [[] for _ in search.grid]
+        for fold in range(search.folds):
+            others = rows.where(F.col("fold") != fold).drop("fold")
+            left_out = rows.where(F.col("fold") == fold).drop("fold")
+            models = _fit_all(with_rows(search.estimator, total - sizes.get(fold, 0)), others, search)
+            for at, auc in _aucs(models, left_out, label).items():
+                found[at].append(auc)
+        means = [sum(aucs) / len(aucs) if aucs else math.nan for aucs in found]
+        if all(math.isnan(mean) for mean in means):
+            raise ValueError("no fold has both outcomes, so no candidate has an AUC")
+        best = max(range(len(means)), key=lambda i: (not math.isnan(means[i]), means[i]))
+        model = with_rows(search.estimator, total).fit(rows.drop("fold"), search.grid[best])
+    validator = CrossValidator(
+        estimator=search.estimator,
+        estimatorParamMaps=search.grid,
+        evaluator=RocAuc(label),
+        numFolds=search.folds,
+        foldCol="fold",
+        parallelism=search.parallelism,
+        seed=search.seed,
+    )
+    return validator._copyValues(CrossValidatorModel(model, means))
+
+
+def _fit_all(estimator: Estimator, rows: DataFrame, search: Search) -> list[Model]:
+    models: list[Model | None] = [None] * len(search.grid)
+    fits = estimator.fitMultiple(rows, search.grid)
+    with ThreadPool(min(search.parallelism, len(search.grid))) as pool:
+        for at, model in pool.imap_unordered(lambda _: next(fits), range(len(search.grid))):
+            models[at] = model
+    return models
+
+
+def _aucs(models: Sequence[Model], rows: DataFrame, label: str) -> dict[int, float]:
+    """The AUC of each model that has one; so many models at once share a pass."""
+    found = {}
+    for first in range(0, len(models), MODELS_PER_PASS):
+        part = range(first, min(first + MODELS_PER_PASS, len(models)))
+        scored = rows
+        for at in part:
+            scored = score(models[at], scored, f"_score_{at}")
+        each = [F.struct(F.lit(at).alias("_at"), F.col(f"_score_{at}").alias("_score")) for at in part]
+        stacked = scored.select(F.col(label).alias("_label"), F.inline(F.array(*each)))
+        for row in roc_auc(stacked, "_label", "_score", "_at").collect():
+            if row["auc"] is not None:
+                found[row["_at"]] = row["auc"]
+    return found
 
 
 def search_results(model: CrossValidatorModel, df: DataFrame) -> DataFrame:

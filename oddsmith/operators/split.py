@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
@@ -13,7 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsmith.functions import hash_bound, key_hash
-from oddsmith.operators.cutoffs import HASH, Stratum, attach_cutoffs, count_strata, hash_cutoffs
+from oddsmith.operators.cutoffs import (
+    HASH,
+    STRATUM,
+    attach_cutoffs,
+    count_strata,
+    shared_out,
+    with_stratum,
+)
 
 When = date | datetime | str
 
@@ -114,21 +120,6 @@ def split_by_dates(
     return DateSplit(column, val_start, test_start, **options).apply(df)
 
 
-def _share_out(strata: Sequence[Stratum], test_size: float) -> list[int]:
-    """Test rows per stratum. All strata together have their share of rows, rounded
-    up; train rows per stratum are rounded down, those left over going to the
-    largest remainders."""
-    total = sum(stratum.rows for stratum in strata)
-    n_train = total - math.ceil(test_size * total)
-    train = [stratum.rows * n_train // total for stratum in strata]
-    by_remainder = sorted(
-        range(len(strata)), key=lambda i: (-(strata[i].rows * n_train % total), i)
-    )
-    for i in by_remainder[: n_train - sum(train)]:
-        train[i] += 1
-    return [stratum.rows - rows for stratum, rows in zip(strata, train)]
-
-
 def split_random(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -155,11 +146,10 @@ def split_random(
         raise ValueError("a stratified split is exact")
     hashed = df.withColumn(HASH, key_hash(keys, seed))
     if stratify or exact:
-        strata = count_strata(hashed, stratify)
-        wanted = [[rows] for rows in _share_out(strata, test_size)] if strata else []
-        cut = hash_cutoffs(hashed, stratify, strata, wanted)
-        labelled, cuts = attach_cutoffs(hashed, stratify, strata, cut)
-        is_test = F.col(HASH) <= F.element_at(cuts, 1)
+        hashed = with_stratum(hashed, stratify)
+        strata = count_strata(hashed)
+        labelled = attach_cutoffs(hashed, shared_out(strata, stratify, test_size), strata)
+        is_test = F.col(HASH) <= F.get("_cuts", F.lit(0))
         labelled = labelled.withColumn(split, F.when(is_test, "test").otherwise("train"))
         return labelled.select(*df.columns, split)
     is_test = F.col(HASH) < hash_bound(test_size)
@@ -183,12 +173,12 @@ def assign_folds(
     keys = [keys] if isinstance(keys, str) else list(keys)
     stratify = [stratify] if isinstance(stratify, str) else list(stratify)
     hashed = df.withColumn(HASH, key_hash(keys, f"fold-{seed}"))
-    if stratify:
-        strata = count_strata(hashed, stratify)
-        wanted = [[s.rows * i // folds for i in range(1, folds)] for s in strata]
-        cut = hash_cutoffs(hashed, stratify, strata, wanted)
-        hashed, cuts = attach_cutoffs(hashed, stratify, strata, cut)
-        number = F.size(F.filter(cuts, lambda edge: edge < F.col(HASH)))
+    if stratify and folds > 1:
+        hashed = with_stratum(hashed, stratify)
+        strata = count_strata(hashed)
+        edges = f"transform(sequence(1, {folds - 1}), i -> named_struct('_at', i, '_rank', _rows * i DIV {folds}))"
+        hashed = attach_cutoffs(hashed, strata.selectExpr(STRATUM, f"inline({edges})"), strata)
+        number = F.size(F.filter("_cuts", lambda edge: edge < F.col(HASH)))
     else:
         passed = [F.col(HASH) >= hash_bound(i / folds) for i in range(1, folds)]
         number = sum((condition.cast("int") for condition in passed), F.lit(0))

@@ -6,8 +6,9 @@ categories, models), one AUC per split, and the run-log entries.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -24,10 +25,11 @@ from oddsmith.operators.schema import project_roles
 from oddsmith.operators.search import Search
 from oddsmith.operators.split import DateSplit
 from oddsmith.plans.runlog import RunId, run_log_rows
-from oddsmith.session import ensure_checkpoint_dir, ready_for_passes
+from oddsmith.session import kept, placed, require_checkpoints
 from oddsmith.sources.small import small_frame
 
 SCORE = "score"
+COUNT = "n"
 FEATURES = "features"
 
 
@@ -75,6 +77,17 @@ class PreparedData:
     data: ExperimentData
     encoder: Model
     names: list[str]
+    train: DataFrame | None = None
+
+    def train_rows(self) -> DataFrame:
+        """Key, label and feature vector of the train rows."""
+        return self.rows("train").drop(self.data.dates.split) if self.train is None else self.train
+
+    @contextmanager
+    def kept_train(self) -> Iterator[PreparedData]:
+        """The same data with the encoded train rows kept, for several fits."""
+        with kept(self.train_rows()) as train:
+            yield replace(self, train=train)
 
     def rows(self, *splits: str) -> DataFrame:
         """Key, split, label and feature vector."""
@@ -82,11 +95,13 @@ class PreparedData:
         return encoded.select(self.data.key, self.data.dates.split, LABEL, FEATURES)
 
 
-def fit_on(train: DataFrame, estimator: Estimator, key: str) -> Model:
-    """Fit an estimator on rows with a key, a label and features."""
-    ensure_checkpoint_dir(train.sparkSession)
-    with ready_for_passes(train, key) as (ready, _):
-        return estimator.fit(ready.drop(key))
+def fit_on(
+    train: DataFrame, estimator: Estimator, key: str, partitions: int | None = None
+) -> Model:
+    """Fit an estimator on rows with a key, a label and features. ``partitions`` places
+    the rows, see ``placed``; otherwise they are used as they lie."""
+    require_checkpoints(train.sparkSession, estimator)
+    return estimator.fit(placed(train, partitions, key).drop(key))
 
 
 def prepare(
@@ -116,11 +131,15 @@ class Run:
     metrics: DataFrame
     importances: DataFrame
     log: DataFrame
-    scored: DataFrame
+    counts: DataFrame
 
     def roc(self) -> DataFrame:
-        """The ROC curve of each split as a table."""
-        return roc_points(self.scored, LABEL, SCORE, self.scored.columns[0])
+        """The ROC curve of each split as a table, from the kept counts per score."""
+        return roc_points(self.counts, LABEL, SCORE, self.counts.columns[0], weight=COUNT)
+
+    def release(self) -> None:
+        """Drop the kept counts; a later ``roc`` scores anew."""
+        self.counts.unpersist()
 
 
 def run_experiment(
@@ -132,26 +151,28 @@ def run_experiment(
     description: str = "",
     experiment_id: int = 0,
     run_name: str | None = None,
+    partitions: int | None = None,
 ) -> Run:
     """Fit on train rows, score the named splits, compute each one's exact AUC.
 
-    Only split, label and score are persisted for the evaluation, three narrow
-    columns: the estimators cache what they iterate over themselves.
+    The scored rows are counted per split, label and score; only these counts are kept,
+    for the AUCs and for ``Run.roc``, until ``Run.release``. The estimators cache
+    themselves what they iterate over. ``partitions`` places the train rows.
     """
     spark = prepared.data.df.sparkSession
     key, split = prepared.data.key, prepared.data.dates.split
-    train = prepared.rows("train").drop(split)
+    train = prepared.train_rows()
     if isinstance(estimator, Search):
-        fitted = estimator.fit(train, key)
+        fitted = estimator.fit(train, key, partitions=partitions)
+        made_by = estimator.estimator
     else:
-        fitted = fit_on(train, estimator, key)
+        fitted = fit_on(train, estimator, key, partitions)
+        made_by = estimator
     model = best_model(fitted)
-    scored = score(model, prepared.rows(*splits), SCORE).select(split, LABEL, SCORE)
-    kept = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        found = {row[split]: row["auc"] for row in roc_auc(kept, LABEL, SCORE, split).collect()}
-    finally:
-        kept.unpersist()
+    scored = score(model, prepared.rows(*splits), SCORE)
+    counts = scored.groupBy(split, LABEL, SCORE).agg(F.count(F.lit(1)).alias(COUNT))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    found = {row[split]: row["auc"] for row in roc_auc(counts, LABEL, SCORE, split, weight=COUNT).collect()}
     aucs = {name: found.get(name) for name in splits}
     metrics = small_frame(spark, list(aucs.items()), f"{split} string, auc double")
     if baseline_auc is not None:
@@ -165,18 +186,21 @@ def run_experiment(
         baseline_auc=baseline_auc,
         aucs=aucs,
         importances={row["feature"]: row["importance"] for row in importances.collect()},
-        params=model_params(model),
+        params=model_params(fitted, made_by),
         feature_names=prepared.data.features,
     )
     whole = PipelineModel([prepared.encoder, model])
-    return Run(run, whole, fitted, aucs, metrics, importances, log, scored)
+    return Run(run, whole, fitted, aucs, metrics, importances, log, counts)
 
 
 def run_experiments(
     prepared: PreparedData, estimators: Mapping[str, Estimator | Search], **options
 ) -> dict[str, Run]:
-    """One run per estimator on the same data and encoder, described by its name."""
-    return {
-        name: run_experiment(prepared, estimator, description=name, **options)
-        for name, estimator in estimators.items()
-    }
+    """One run per estimator on the same data and encoder, described by its name. The
+    encoded train rows are kept once for all of them; so folds are those of the same
+    rows, too."""
+    with prepared.kept_train() as shared:
+        return {
+            name: run_experiment(shared, estimator, description=name, **options)
+            for name, estimator in estimators.items()
+        }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame
@@ -24,36 +24,33 @@ from oddsmith.operators.search import (
     random_forest_search,
 )
 from oddsmith.operators.split import DateSplit, anchor_windows
-from oddsmith.plans.experiment import ExperimentData
+from oddsmith.plans.experiment import ExperimentData, PreparedData, Run, run_experiments
 
-# Fixed values, spelled as the data and its encoders have them.
-GENDERS = ("M", "F")
-BROWSERS = ("Chrome", "Facebook", "Safair", "Webview/iOS")
-DOMAINS = ("lifeinsurance.net", "nationalfamily.com", "assurance.com")
-EMAIL_CODES = {"exact match": 0, "close match": 1}
-EMAIL_OTHER = 2
+# Fixed values of the worked experiment.
 ANCHOR = "2022-10-30"
 EXPERIMENT_ID = 422
 BASELINE_AUC = 0.75
 KEY = "lead_id"
 TARGET = "target"
 DATE = "create_date"
-GENDER, BROWSER = "individual_gender", "direct_lead_browser"
-DOMAIN, EMAIL = "direct_lead_domain", "ebureau_verify_email"
 
 
 def lead_encoder(
-    floats: Sequence[str], ints: Sequence[str], booleans: Sequence[str]
+    floats: Sequence[str],
+    ints: Sequence[str],
+    booleans: Sequence[str],
+    kept: Mapping[str, Sequence[str]],
+    coded: Mapping[str, tuple[Mapping[str, int], int]],
 ) -> FeatureEncoder:
+    """``kept`` lists the values to keep of each category, ``coded`` has the codes of the
+    values of others and the code of all else."""
     return FeatureEncoder(
         [
             MeanImpute(list(floats)),
             PositiveFlag(list(ints)),
             TrueFlag(list(booleans)),
-            KeepList(GENDER, GENDERS),
-            KeepList(BROWSER, BROWSERS),
-            KeepList(DOMAIN, DOMAINS),
-            CodeMap(EMAIL, EMAIL_CODES, EMAIL_OTHER),
+            *[KeepList(column, values) for column, values in kept.items()],
+            *[CodeMap(column, codes, default) for column, (codes, default) in coded.items()],
         ]
     )
 
@@ -63,14 +60,10 @@ def lead_data(
     floats: Sequence[str],
     ints: Sequence[str],
     booleans: Sequence[str],
+    strings: Sequence[str],
     anchor: str = ANCHOR,
 ) -> ExperimentData:
-    roles = {
-        "boolean": booleans,
-        "float": floats,
-        "int": ints,
-        "string": [GENDER, BROWSER, DOMAIN, EMAIL],
-    }
+    roles = {"boolean": booleans, "float": floats, "int": ints, "string": list(strings)}
     windows = anchor_windows(anchor)
     dates = DateSplit(DATE, windows.val_start, windows.test_start)
     return ExperimentData(df, TARGET, check_roles(df, roles), KEY, dates)
@@ -84,3 +77,13 @@ def lead_estimators() -> dict[str, GBTClassifier | Search]:
         "random-forest-grid-search": random_forest_search(),
         "logistic-regression-grid-search": logistic_search(),
     }
+
+
+def lead_runs(
+    prepared: PreparedData, estimators: Mapping[str, GBTClassifier | Search] | None = None, **options
+) -> dict[str, Run]:
+    """The worked experiment's runs, under its id and against its baseline."""
+    estimators = lead_estimators() if estimators is None else estimators
+    return run_experiments(
+        prepared, estimators, experiment_id=EXPERIMENT_ID, baseline_auc=BASELINE_AUC, **options
+    )

@@ -2,53 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 
-# A fit passes over its rows many times. A table up to SMALL_ROWS may come in fewer
-# file splits than there are cores, so it is spread over them and kept. Larger ones
-# have splits enough; they are neither shuffled nor kept beside the estimator's own
-# cached rows.
-SMALL_ROWS = 5_000_000
-ROWS_PER_TASK = 25_000
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """The folder for checkpoints: the one the cluster names, if any.
-
-    Only a local session, as in tests, gets a temporary folder of its own. On a
-    cluster a machine's own folder would be lost with the machine, so there the
-    setting stays as it is.
-    """
+def ensure_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str | None:
+    """The folder for checkpoints: ``folder``, or the one the session names, if any. It
+    must be one that all machines share; none is made here."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    named = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if named and (folder or context.getCheckpointDir() is None):
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
-@contextmanager
-def ready_for_passes(df: DataFrame, *keys: str) -> Iterator[tuple[DataFrame, int]]:
-    """The frame as an iterative fit should read it, and its number of rows.
+def _builds_on_itself(estimator: Estimator) -> bool:
+    """Boosted trees: each tree's plan holds those of all before it."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    return any(isinstance(stage, GBTClassifier) for stage in stages)
+
+
+def require_checkpoints(spark: SparkSession, estimator: Estimator, folder: str | None = None) -> None:
+    """Fail early where an estimator must cut its lineage and has no folder for it."""
+    if ensure_checkpoint_dir(spark, folder) is None and _builds_on_itself(estimator):
+        raise ValueError(
+            "boosted trees cut their lineage by checkpoints: set spark.checkpoint.dir to a"
+            " folder that all machines share"
+        )
 
-    Rows are placed and ordered by key, so that a sampling estimator with a seed
-    draws the same rows in every run.
+
+def placed(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """The rows as they lie, or with ``partitions`` dealt and ordered by key.
+
+    A sampling estimator draws by partition and place. So one seed gives one model
+    for one number of partitions, however the rows lay before; for rows as they lie it
+    depends on how they lie.
     """
-    rows = df.count()
-    if rows > SMALL_ROWS:
-        yield df, rows
-        return
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK) or 1)
-    spread = df.repartition(tasks, *keys).sortWithinPartitions(*keys)
-    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
+    if partitions is None:
+        return df
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The frame, kept for several passes and released at the end."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield spread, rows
+        yield df
     finally:
-        spread.unpersist()
+        df.unpersist()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger(__name__)
@@ -13,13 +14,14 @@ log = logging.getLogger(__name__)
 def pull_sql(spark: SparkSession, query: str, *, report_rows: bool = False) -> DataFrame:
     """Run ``query`` and return its lazy result.
 
-    ``report_rows`` counts the result first and logs the number, which runs the
-    query once more, reading only what the count needs. (An ``Observation`` would
-    count in passing, but it leaves the session unable to apply fitted models that
-    carry a training summary.)
+    ``report_rows`` logs how many rows it has. The query then runs once, now: its rows
+    are kept (in memory and on disk) for the count and for whatever reads them next,
+    until ``unpersist``. (An ``Observation`` would count in passing, but it leaves the
+    session unable to apply fitted models that carry a training summary.)
     """
     pulled = spark.sql(query)
     if report_rows:
+        pulled = pulled.persist(StorageLevel.MEMORY_AND_DISK)
         log.info("the query returns %d rows", pulled.count())
     return pulled
 
@@ -95,8 +97,19 @@ def replace_table(
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(written)
     if reads_itself:
-        spark.sql(f"DROP TABLE IF EXISTS {target}")
-        spark.sql(f"ALTER TABLE {written} RENAME TO {target}")
+        # The old table steps aside and goes last, so its rows are never without a name.
+        aside = None
+        if spark.catalog.tableExists(target):
+            aside = table_name(schema, f"{table}_{uuid.uuid4().hex}_old")
+            spark.sql(f"ALTER TABLE {target} RENAME TO {aside}")
+        try:
+            spark.sql(f"ALTER TABLE {written} RENAME TO {target}")
+        except Exception:
+            if aside:
+                spark.sql(f"ALTER TABLE {aside} RENAME TO {target}")
+            raise
+        if aside:
+            spark.sql(f"DROP TABLE {aside}")
     return target
 
 

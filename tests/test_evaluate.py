@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import plan_of
@@ -188,5 +189,18 @@ def test_baseline(spark):
     assert rows["test"]["lift"] is None
 
 
-def test_evaluator_direction():
+def test_evaluator(spark, tmp_path):
     assert RocAuc().isLargerBetter()
+    RocAuc("y").save(str(tmp_path / "auc"))
+    assert RocAuc.load(str(tmp_path / "auc")).getOrDefault("label") == "y"
+    one = spark.createDataFrame([(1, Vectors.dense([0.2, 0.8]))], ["y", "probability"])
+    assert math.isnan(RocAuc("y").evaluate(one))
+
+
+def test_weighted_rows_count_as_many(spark):
+    rows = [(1, 0.9, 2), (0, 0.9, 3), (1, 0.4, 1), (0, 0.1, 4)]
+    weighted = spark.createDataFrame(rows, "y int, s double, n long")
+    plain = weighted.selectExpr("y", "s", "explode(sequence(1L, n)) AS k")
+    assert roc_auc(weighted, "y", "s", weight="n").collect() == roc_auc(plain, "y", "s").collect()
+    a, b = (roc_points(f, "y", "s", weight=w) for f, w in ((weighted, "n"), (plain, None)))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -16,9 +16,9 @@ from oddsmith.plans import (
     best_run,
     prepare,
     run_experiment,
-    run_experiments,
 )
 from oddsmith.plans import presets
+from oddsmith.plans.experiment import fit_on
 from oddsmith.plans.runlog import RUN_LOG_SCHEMA
 from oddsmith.session import ensure_checkpoint_dir
 from oddsmith.sources import read_table
@@ -39,16 +39,26 @@ def leads(spark):
         F.expr("IF(id % 2 = 0, 'M', IF(id % 10 = 1, NULL, 'F'))").alias("individual_gender"),
         F.expr("element_at(array('Chrome', 'Facebook', 'Safari', 'Edge'), CAST(id % 4 AS INT) + 1)")
         .alias("direct_lead_browser"),
-        F.expr("IF(id % 6 = 0, 'assurance.com', 'elsewhere.org')").alias("direct_lead_domain"),
+        F.expr("IF(id % 6 = 0, 'one.example', 'elsewhere.example')").alias("direct_lead_domain"),
         F.expr("IF(id % 3 = 0, 'exact match', IF(id % 3 = 1, 'close match', NULL))")
         .alias("ebureau_verify_email"),
     ).cache()
 
 
+KEPT = {
+    "individual_gender": ("M", "F"),
+    "direct_lead_browser": ("Chrome", "Facebook", "Webview/iOS"),
+    "direct_lead_domain": ("one.example", "two.example"),
+}
+CODED = {"ebureau_verify_email": ({"exact match": 0, "close match": 1}, 2)}
+NAMES = (["f1"], ["i1"], ["b1"])
+STRINGS = [*KEPT, *CODED]
+
+
 @pytest.fixture(scope="module")
 def prepared(leads):
-    data = presets.lead_data(leads, ["f1"], ["i1"], ["b1"])
-    return prepare(data, presets.lead_encoder(["f1"], ["i1"], ["b1"]))
+    data = presets.lead_data(leads, *NAMES, STRINGS)
+    return prepare(data, presets.lead_encoder(*NAMES, KEPT, CODED))
 
 
 def test_preset_features(prepared):
@@ -87,7 +97,7 @@ def test_data(prepared):
 
 def test_target_must_be_an_outcome(leads):
     broken = leads.withColumn("target", F.expr("IF(lead_id = 7, NULL, target)"))
-    data = presets.lead_data(broken, ["f1"], ["i1"], ["b1"])
+    data = presets.lead_data(broken, *NAMES, STRINGS)
     with pytest.raises(Exception, match="target is neither 0 nor 1"):
         data.rows().collect()
 
@@ -133,7 +143,7 @@ def test_search_in_a_run(prepared):
 
 
 def test_encoder_refitted_for_each_fold(prepared):
-    encoder = presets.lead_encoder(["f1"], ["i1"], ["b1"])
+    encoder = presets.lead_encoder(*NAMES, KEPT, CODED)
     logit = PenalizedLogit()
     search = Search(Pipeline(stages=[encoder, logit]), [{logit.C: 0.1}], folds=2)
     found = search.fit(prepared.data.rows("train").drop("split"), "lead_id")
@@ -152,11 +162,10 @@ def test_any_encoder_with_names(prepared):
 
 def test_log_table_and_best_run(spark, prepared):
     spark.sql("CREATE DATABASE IF NOT EXISTS runs")
-    found = run_experiments(
-        prepared,
-        {"forest": random_forest(n_trees=2, max_depth=1), "logit": PenalizedLogit()},
-        experiment_id=422,
+    found = presets.lead_runs(
+        prepared, {"forest": random_forest(n_trees=2, max_depth=1), "logit": PenalizedLogit()}
     )
+    assert all(run.run.experiment_id == 422 for run in found.values())
     for run in found.values():
         append_run_log(run.log, "log", "runs")
     log = read_table(spark, "log", "runs")
@@ -179,6 +188,23 @@ def test_best_run_ties_and_gaps(spark):
     assert [tuple(r) for r in found] == [(1, "a", "a", 0.7)]
 
 
+def test_boosted_trees_demand_a_checkpoint_folder(spark, monkeypatch):
+    import oddsmith.session as session
+
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda *a, **b: None)
+    session.require_checkpoints(spark, PenalizedLogit())
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.require_checkpoints(spark, Pipeline(stages=[boosted_trees()]))
+
+
+def test_equal_partitions_give_equal_forests(prepared):
+    """Whatever the rows' placement was before."""
+    rows = prepared.train_rows().cache()
+    forest = random_forest(n_trees=3, featureSubsetStrategy="sqrt")
+    models = [fit_on(df, forest, "lead_id", partitions=5) for df in (rows, rows.repartition(3), rows.repartition(11, "label"))]
+    assert len({m.toDebugString.split(chr(10), 1)[1] for m in models}) == 1
+
+
 def test_checkpoint_dir_is_the_sessions(spark):
     assert ensure_checkpoint_dir(spark).startswith(
         "file:" + spark.conf.get("spark.checkpoint.dir")
@@ -218,7 +244,7 @@ def test_splits_work_on_streams(spark, prepared, tmp_path):
 
 def test_data_needs_its_columns(leads):
     with pytest.raises(ValueError, match="no such column"):
-        presets.lead_data(leads, ["nope"], ["i1"], ["b1"])
+        presets.lead_data(leads, ["nope"], ["i1"], ["b1"], STRINGS)
     dates = DateSplit("create_date", "2022-09-01", "2022-10-01")
     data = ExperimentData(leads, "target", ["f1"], "lead_id", dates)
     assert data.rows().columns == ["lead_id", "split", "label", "f1"]

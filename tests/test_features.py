@@ -165,6 +165,21 @@ def test_too_many_categories(spark):
         )
 
 
+def test_wide_categories(spark, tmp_path):
+    frame = spark.range(3000).selectExpr("IF(id = 7, NULL, concat('v', id % 1500)) AS c", "id AS x")
+    encoder = FeatureEncoder([Categories("c", wide=True), MeanImpute(["x"])], handle_unknown="ignore")
+    encoder.save(str(tmp_path / "encoder"))
+    model = FeatureEncoder.load(str(tmp_path / "encoder")).fit(frame)
+    names = feature_names(model)
+    assert len(names) == 1502 and names[0].endswith("_None") and names[-1] == "x"
+    vector = model.transform(frame.filter("x = 20")).first()["features"]
+    assert vector.numNonzeros() == 2 and vector[names.index("_category_0_v20")] == 1.0
+    unseen = spark.createDataFrame([("new", 1)], "c string, x long")
+    assert model.transform(unseen).first()["features"].numNonzeros() == 1
+    with pytest.raises(Exception):
+        FeatureEncoder([Categories("c", wide=True)]).fit(frame).transform(unseen).collect()
+
+
 def test_odd_names_and_values(spark):
     frame = spark.createDataFrame([("a.b",), ("it's",), ("c`d",)], "`odd name` string")
     model = FeatureEncoder([Categories("odd name")]).fit(frame)

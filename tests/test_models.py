@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import functions as F
 
 from oddsmith.operators.evaluate import roc_auc
@@ -113,6 +114,25 @@ def test_grid_search(planted):
     assert best_model(found).coefficients[0] > 0
 
 
+def test_finished_search_is_saved(planted, tmp_path):
+    found = grid_search(planted, logistic_search(strengths=(1.0,), penalties=("l1", "l2"), folds=2), "id")
+    found.save(str(tmp_path / "search"))
+    again = CrossValidatorModel.load(str(tmp_path / "search"))
+    assert again.avgMetrics == found.avgMetrics
+    assert model_params(again)["C"] == "1.0" and "regParam" in model_params(again)
+    assert model_params(found)["penalty"] in ("l1", "l2")
+    one = PenalizedLogit(C=2.0)
+    assert model_params(one.fit(planted), one)["C"] == "2.0"
+
+
+def test_folds_of_one_outcome_have_no_auc(planted):
+    alone = planted.filter("label = 0").union(planted.filter("label = 1").limit(1))
+    found = grid_search(alone, logistic_search(strengths=(1.0,), penalties=("l2",), folds=2), "id")
+    assert 0 <= found.avgMetrics[0] <= 1
+    with pytest.raises(Exception):
+        grid_search(planted.filter("label = 0"), logistic_search(strengths=(1.0,), folds=2), "id")
+
+
 def test_plain_folds(planted):
     search = boosted_tree_search(
         depths=(1,), n_trees=(2,), learning_rates=(0.3,), folds=2, stratified=False

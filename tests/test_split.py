@@ -6,10 +6,17 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from oddsmith.functions import hash_bound, key_hash
-from oddsmith.operators.cutoffs import HASH, Stratum, _passes, hash_cutoffs
+from oddsmith.operators.cutoffs import (
+    HASH,
+    STRATUM,
+    _passes,
+    count_strata,
+    hash_cutoffs,
+    shared_out,
+    with_stratum,
+)
 from oddsmith.operators.split import (
     DateSplit,
-    _share_out,
     anchor_windows,
     assign_folds,
     split_by_dates,
@@ -141,26 +148,48 @@ def test_stratified_by_two_columns_leaves_the_table_unshuffled(spark, table):
     assert split.count() == table("orders").count()
 
 
-def test_shares_add_up():
-    for rows in ([3, 3, 3], [1, 1, 8], [5], [7, 11, 13, 17]):
-        strata = [Stratum((i,), n) for i, n in enumerate(rows)]
-        shares = _share_out(strata, 0.25)
-        assert sum(shares) == math.ceil(0.25 * sum(rows))
-        assert all(abs(s - 0.25 * n) <= 1 for s, n in zip(shares, rows))
+def test_shares_add_up(spark):
+    for rows in ([3, 3, 3], [1, 1, 8], [5], [7, 11, 13, 17], [1] * 50, [2] * 31 + [3]):
+        frame = spark.createDataFrame([(i,) for i, n in enumerate(rows) for _ in range(n)], "s int")
+        strata = count_strata(with_stratum(frame, ["s"]))
+        shares = {r[STRATUM]["s"]: r["_rank"] for r in shared_out(strata, ["s"], 0.25).collect()}
+        assert sum(shares.values()) == math.ceil(0.25 * sum(rows))
+        assert all(abs(shares[i] - 0.25 * n) <= 1 for i, n in enumerate(rows))
+
+
+def test_more_strata_than_a_driver_should_hold(spark):
+    frame = spark.range(240_000).select("id", (F.col("id") % 120_000).alias("s"))
+    split = split_random(frame, "id", 0.25, stratify="s")
+    tests = split.filter("split = 'test'")
+    assert tests.count() == 60_000 and split.count() == 240_000
+    assert tests.groupBy("s").count().filter("count > 1").count() == 0
+
+
+def test_parts_of_a_key_are_told_apart(spark):
+    rows = [("a:b", "c"), ("a", "b:c"), ("x", None), ("x", ""), ("1:x", "y"), ("1", "x:y")]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    assert frame.select(key_hash(["a", "b"], 1)).distinct().count() == 6
+    for seed in range(5):
+        split = split_random(frame.limit(4), ["a", "b"], 0.25, seed, exact=True)
+        assert split.filter("split = 'test'").count() == 1
 
 
 def test_cutoffs_of_a_large_table_equal_those_of_a_small_one(spark):
     hashed = spark.range(5000).select(
-        (F.col("id") % 3).alias("s"), key_hash(["id"], 1).alias(HASH)
+        F.struct((F.col("id") % 3).alias("s")).alias(STRATUM), key_hash(["id"], 1).alias(HASH)
     )
-    strata = [Stratum((0,), 1667), Stratum((1,), 1667), Stratum((2,), 1666)]
     ranks = [[0, 1, 500], [10, 1000, 1667], [400, 800, 1200]]
-    once = hash_cutoffs(hashed, ["s"], strata, ranks)
-    for small in (0, 2_000):
-        assert hash_cutoffs(hashed, ["s"], strata, ranks, small=small) == once
-    by_stratum = [sorted(r[HASH] for r in hashed.filter(f"s = {s}").collect()) for s in range(3)]
-    brute = [[hs[k - 1] if k else "" for k in ks] for hs, ks in zip(by_stratum, ranks)]
-    assert once == brute
+    rows = [(s, at, rank) for s, of in enumerate(ranks) for at, rank in enumerate(of)]
+    wanted = spark.createDataFrame(rows, "s long, _at int, _rank long").select(
+        F.struct("s").alias(STRATUM), "_at", "_rank"
+    )
+    by_stratum = [
+        sorted(r[HASH] for r in hashed.filter(f"{STRATUM}.s = {s}").collect()) for s in range(3)
+    ]
+    brute = {(s, at, of[k - 1] if k else "") for s, of in enumerate(by_stratum) for at, k in enumerate(ranks[s])}
+    for small in (0, 2_000, 1 << 20):
+        found = hash_cutoffs(hashed, wanted, 1667, small=small).collect()
+        assert {(r[STRATUM]["s"], r["_at"], r["_edge"]) for r in found} == brute
 
 
 def test_passes_grow_with_the_table():
