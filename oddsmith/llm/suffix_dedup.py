@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.llm.packed import (
-    expand, is_in, pack, parts, range_bits, rows_of, shared_values, squeeze, unpack, with_shared_anchors,
+    PIECE_BYTES, expand, is_in, pack, parts, range_bits, rows_of, shared_values, squeeze, unpack, with_shared_anchors,
 )
 from oddsmith.llm.words import Texts, mix, powers, prefix_sums, ranges, substring_hash
 
@@ -242,7 +242,7 @@ def _settle(length: int):
 def _gone(entry: np.ndarray, owner: np.ndarray, text: np.ndarray, length: int):
     n = entry["n"].astype(np.int64)
     begin = np.cumsum(n) - n
-    span = substring_hash(prefix_sums(Texts(text, np.array([0, len(text)]))), begin, begin + n)
+    span = np.concatenate([_hashes(text, begin[x], n[x]) for x in _chunks(n)])
     order = np.lexsort((entry["doc"], span, entry["anchor"]))
     anchor, span = entry["anchor"][order], span[order]
     new_anchor, new_span = np.ones(len(order), bool), np.ones(len(order), bool)
@@ -256,34 +256,18 @@ def _gone(entry: np.ndarray, owner: np.ndarray, text: np.ndarray, length: int):
     # One distinct span: whole spans of later documents go.
     whole = order[alone & (doc > doc[first][of])]
     rows, a, b, owners = [entry["row"][whole]], [entry["at"][whole]], [entry["at"][whole] + n[whole]], [owner[whole]]
+    # Several: their suffixes, those of some anchors at a time.
     several = np.flatnonzero(~alone)
     if len(several):
-        reps = order[first[~alone[first]]]  # entries that stand for distinct spans
-        size = n[reps] + 1
-        laid = np.zeros(int(size.sum()) + 1, np.int16)
-        at = np.cumsum(size) - size
-        laid[ranges(at, n[reps])] = text[ranges(begin[reps], n[reps])].astype(np.int16) + 1
-        interval = equal_windows(laid, length)
-        windows = n[reps] - length + 1
-        place = ranges(at, windows)
-        least = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, interval[place], np.repeat(entry["doc"][reps], windows))
-        least = least[interval[place]]
-        # Each entry against the smallest documents of its span's windows.
-        number = np.full(len(first), -1)
-        number[~alone[first]] = np.arange(len(reps))
-        mine = number[of[several]]
-        e = order[several]
-        begin_of = np.cumsum(windows) - windows
-        flat = ranges(begin_of[mine], windows[mine])
-        lost = least[flat] < np.repeat(entry["doc"][e], windows[mine])
-        at_entry = np.repeat(np.arange(len(e)), windows[mine])[lost]
-        window = (np.arange(len(flat)) - np.repeat(np.cumsum(windows[mine]) - windows[mine], windows[mine]))[lost]
-        e = e[at_entry]
-        a.append(entry["at"][e] + window)
-        b.append(a[-1] + length)
-        rows.append(entry["row"][e])
-        owners.append(owner[e])
+        number = np.cumsum(new_anchor[several]) - 1
+        laid = np.bincount(number, weights=(n[order[several]] + 1) * new_span[several]).astype(np.int64)
+        for some in _chunks(laid):
+            at = several[slice(*np.searchsorted(number, [some.start, some.stop]))]
+            e, window = _windows_gone(entry, order[at], of[at], begin, n, text, length)
+            a.append(entry["at"][e] + window)
+            b.append(a[-1] + length)
+            rows.append(entry["row"][e])
+            owners.append(owner[e])
     row, a, b, owner = map(np.concatenate, (rows, a, b, owners))
     order = np.argsort(owner, kind="stable")
     row, a, b, owner = row[order], a[order], b[order], owner[order]
@@ -292,6 +276,40 @@ def _gone(entry: np.ndarray, owner: np.ndarray, text: np.ndarray, length: int):
         yield int(owner[i]), merged(row[i:j], a[i:j], b[i:j])
 
 
+def _chunks(sizes: np.ndarray) -> list[slice]:
+    """Runs of items that together have about PIECE_BYTES, or are one item."""
+    part = (np.cumsum(sizes) - sizes) // PIECE_BYTES
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(sizes) else [0]
+    return [slice(int(i), int(j)) for i, j in zip(edges[:-1], edges[1:])]
+
+
+def _hashes(text: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of strings that lie behind one another."""
+    part = text[begin[0] : begin[-1] + n[-1]]
+    sums = prefix_sums(Texts(part, np.array([0, len(part)])))
+    return substring_hash(sums, begin - begin[0], begin - begin[0] + n)
+
+
+def _windows_gone(entry, e, span, begin, n, text, length) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries ``e``, in the order of their ``span`` and then their document: the entries
+    and the windows that a smaller document has."""
+    new = np.concatenate([[True], span[1:] != span[:-1]])
+    mine = np.cumsum(new) - 1
+    reps = e[new]  # of each distinct span, its smallest document
+    size = n[reps] + 1
+    laid = np.zeros(int(size.sum()) + 1, np.int16)
+    laid[ranges(np.cumsum(size) - size, n[reps])] = text[ranges(begin[reps], n[reps])].astype(np.int16) + 1
+    windows = n[reps] - length + 1
+    interval = equal_windows(laid, length)[ranges(np.cumsum(size) - size, windows)]
+    least = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, interval, np.repeat(entry["doc"][reps], windows))
+    least = least[interval]
+    count = windows[mine]
+    lost = least[ranges((np.cumsum(windows) - windows)[mine], count)] < np.repeat(entry["doc"][e], count)
+    window = np.arange(len(lost)) - np.repeat(np.cumsum(count) - count, count)
+    return e[np.repeat(np.arange(len(e)), count)[lost]], window[lost]
+
+
 _CUT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())]
 )
