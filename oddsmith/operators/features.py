@@ -272,8 +272,8 @@ class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
 
 def _told(branch: Categories) -> str:
-    """A category as text; missing is the empty text, and other texts follow a mark."""
-    return f"coalesce(concat('=', CAST({quoted(branch.column)} AS STRING)), '')"
+    """A category as text: a dash if it is missing, else its text behind a mark."""
+    return f"coalesce(concat('=', CAST({quoted(branch.column)} AS STRING)), '-')"
 
 
 def _distinct_values(dataset: DataFrame, branch: Categories) -> list:
@@ -299,7 +299,7 @@ def feature_names(model: PipelineModel, prefix: str = PREFIX) -> list[str]:
                     names.append(name.removeprefix(prefix))
                 else:
                     at = name.removesuffix("_hot")
-                    names += [f"{at}_{label[1:] if label else None}" for label in labels]
+                    names += [f"{at}_{label[1:] if label != '-' else None}" for label in labels]
             return names
         if isinstance(stage, PipelineModel):
             return feature_names(stage, prefix)
