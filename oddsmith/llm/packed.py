@@ -69,7 +69,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "bytes": len(texts.data),
                     "ids": ids.tobytes(),
                     "offsets": texts.offsets.tobytes(),
-                    "z": zstandard.ZstdCompressor(level=3).compress(texts.data.tobytes()),
+                    "z": zstandard.ZstdCompressor(level=9).compress(texts.data.tobytes()),
                     "others": zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes()),
                 }
             ],

@@ -26,14 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op8_minhash_near_dedup")
+_NEAR_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w
+          ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  both_of AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+           GROUP BY 1, 2),
+  links AS (SELECT a, b FROM both_of JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+  ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+  least AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
+@query("op8_minhash_near_dedup", _NEAR_SQL)
 def op8(spark, sf_dir):
     from oddsmith.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-@query("op10_suffix_array_dedup")
+_REPEATED_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  p AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM d),
+  w AS (SELECT doc_id, i, CASE WHEN 2 * i + 98 <= len(h) THEN md5(substr(h, 2 * i - 1, 100)) END AS s,
+               substr(h, 2 * i - 1, 2) AS b FROM p),
+  m AS (SELECT *, CASE WHEN s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id THEN i END AS gone FROM w),
+  r AS (SELECT doc_id, i, b, coalesce(max(gone) OVER (PARTITION BY doc_id ORDER BY i) > i - 50, FALSE) AS removed FROM m),
+  e AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM r),
+  g AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, count(*) FILTER (begins) AS n_spans,
+               string_agg(b, '' ORDER BY i) FILTER (NOT removed) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op10_suffix_array_dedup", _REPEATED_SQL)
 def op10(spark, sf_dir):
     from oddsmith.llm.suffix_dedup import remove_repeated_bytes
 
@@ -130,7 +162,18 @@ def op5(spark, sf_dir):
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
 
-@query("op6_exact_top_k")
+_TOP_SQL = """WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
+    FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op6_exact_top_k", _TOP_SQL)
 def op6(spark, sf_dir):
     from oddsmith.llm.topk import exact_top_k
 
