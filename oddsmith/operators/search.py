@@ -66,11 +66,14 @@ def boosted_tree_search(
     return Search(trees, _grid(grid), **options)
 
 
-def boosted_tree_search_short(**options) -> Search:
+def boosted_tree_search_short(
+    depths=range(2, 10),
+    n_trees=(60, 100, 140, 180),
+    learning_rates=(0.3, 0.1, 0.01, 0.05),
+    **options,
+) -> Search:
     """128 parameter sets: other tree counts, four rates."""
-    return boosted_tree_search(
-        n_trees=(60, 100, 140, 180), learning_rates=(0.3, 0.1, 0.01, 0.05), **options
-    )
+    return boosted_tree_search(depths, n_trees, learning_rates, **options)
 
 
 def random_forest_search(
