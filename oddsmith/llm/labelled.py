@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from oddsmith.llm.shared import pieces
 
 _PIECE = 1 << 20
+#: Shares are compared with a hash of so many values: exact also for a few of 1e12 rows.
+_DRAWS = 1 << 52
 
 
 @dataclass
@@ -56,6 +58,12 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
+def drawn(id_col: str, limit: int, rows: int) -> Column:
+    """Whether a hash of the id draws the row, for about ``limit`` of so many rows."""
+    share = min(1.0, limit / max(rows, 1))
+    return F.pmod(F.xxhash64(id_col), F.lit(_DRAWS)) < F.lit(int(share * _DRAWS))
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, chosen: Column, limit: int
 ) -> DataFrame:
@@ -64,8 +72,7 @@ def labelled_sample(
     and no document is moved for it."""
     known = labels.where(chosen & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    share = min(1.0, limit / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = known.where(drawn("doc_id", limit, known.count()))
     return documents.join(F.broadcast(known), "doc_id")
 
 

@@ -5,7 +5,7 @@ from conftest import TESTDATA
 from corpora import empty, frame, odd, prose
 from pyspark.sql import functions as F
 
-from oddsmith.llm.labelled import Rows, rows_by
+from oddsmith.llm.labelled import Rows, drawn, rows_by
 from oddsmith.llm.quality import FEATURES, machine, quality_scores, without_low_quality
 from oddsmith.llm.queries import QUERIES
 from oddsmith.llm.toxicity import BITS, fit_logistic, toxicity_scores
@@ -109,3 +109,13 @@ def test_filter_keeps_columns(spark):
     assert kept.schema == df.schema
     assert {r["doc_id"] for r in kept.collect()} >= {i for i in range(120) if i % 4}
     assert isinstance(rows_by(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0), Rows) and FEATURES > 1 << 16
+
+
+def test_a_sample_of_very_many_labels_is_not_empty(spark):
+    """A share of less than 1 in 2**20, and one between two steps of that size."""
+    rows = spark.range(1 << 25)
+    few = rows.where(drawn("id", 12_500, 12_500 << 22)).count()
+    assert 1 <= few <= 20  # 8 on average
+    between = rows.where(drawn("id", 19_000, 10_000 << 20)).count()
+    assert 40 <= between <= 85  # 61 on average
+    assert rows.where(drawn("id", 1, 1)).count() == 1 << 25
