@@ -750,7 +750,7 @@ def logreg_scores(spark, sf_dir):
 def importances(spark, sf_dir):
     """Of trees with one split: the best feature has it all. The order is part of it."""
     prepared = _planted_orders(spark, sf_dir, TrueFlag(["even"]))
-    forest = _whole_forest(n_trees=20, max_depth=1, featureSubsetStrategy="all")
+    forest = _whole_forest(n_trees=100, max_depth=1, featureSubsetStrategy="all")
     model = fit_on(prepared.train_rows(), forest, "o_orderkey")
     found = feature_importance(model, prepared.names, prepared.data.df).collect()
     rows = [(r["feature"], r["importance"], at + 1) for at, r in enumerate(found)]
@@ -853,7 +853,7 @@ def _run(spark: SparkSession, sf_dir: str, estimator, *splits: str, **options):
 
 @query("experiment_train_val", _metrics_oracle("'train', 'val'"))
 def experiment_train_val(spark, sf_dir):
-    run = _run(spark, sf_dir, boosted_trees(n_trees=10), "train", "val", baseline_auc=BASELINE)
+    run = _run(spark, sf_dir, boosted_trees(n_trees=100), "train", "val", baseline_auc=BASELINE)
     return run.metrics
 
 
@@ -876,7 +876,7 @@ def experiment_train_val_test(spark, sf_dir):
         FROM r""",
 )
 def experiment_roc(spark, sf_dir):
-    run = _run(spark, sf_dir, _whole_forest(n_trees=1), "train", "val", "test")
+    run = _run(spark, sf_dir, _whole_forest(n_trees=100), "train", "val", "test")
     return run.roc().withColumn("threshold", F.round("threshold", 9))
 
 
@@ -929,8 +929,8 @@ def repeated_experiments(spark, sf_dir):
         _planted_orders(spark, sf_dir),
         {
             "logit": PenalizedLogit(C=1.0, penalty="l2"),
-            "forest": _whole_forest(n_trees=5),
-            "trees": boosted_trees(n_trees=5),
+            "forest": _whole_forest(n_trees=100),
+            "trees": boosted_trees(n_trees=100),
         },
         experiment_id=422,
         baseline_auc=BASELINE,

@@ -57,3 +57,25 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("name", ["experiment_train_val", "feature_importance", "experiment_roc", "repeated_experiments"])
+def test_queries_fit_as_many_trees_as_the_worked_experiment(spark, monkeypatch, name):
+    counts = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **options):
+        raise Stop
+
+    def recorded(make):
+        return lambda **options: (counts.append(options["n_trees"]), make(**options))[1]
+
+    for made in ("boosted_trees", "random_forest"):
+        monkeypatch.setattr(registry, made, recorded(getattr(registry, made)))
+    for fit in ("run_experiment", "run_experiments", "fit_on"):
+        monkeypatch.setattr(registry, fit, stop)
+    with pytest.raises(Stop):
+        registry.queries()[name](spark, TESTDATA)
+    assert counts and set(counts) == {100}
