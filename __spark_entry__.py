@@ -804,7 +804,8 @@ _LOGIT_SETS = [
 
 @query("grid_search", _search_oracle(_listed(_BOOSTED_SETS)))
 def grid(spark, sf_dir):
-    """8 of the 256 sets, two of each dimension: 32 fits and one of the best."""
+    """8 sets: 32 fits and one of the best. Two declared values of depth and rate each; the
+    tree counts, 2 and 3, lie outside the declared grid (50 to 200)."""
     return _searched(
         spark, sf_dir, boosted_tree_search(depths=(2, 3), n_trees=(2, 3), learning_rates=(0.05, 0.1))
     )
@@ -812,7 +813,8 @@ def grid(spark, sf_dir):
 
 @query("grid_search_short", _search_oracle(_listed(_SHORT_SETS)))
 def grid_short(spark, sf_dir):
-    """8 sets, two of each dimension of the second boosted grid (128 sets)."""
+    """8 sets: 32 fits and one of the best. Two values of depth and rate each from the second
+    boosted grid; the tree counts, 2 and 4, lie outside it (60 to 180)."""
     return _searched(
         spark, sf_dir, boosted_tree_search_short(depths=(2, 3), n_trees=(2, 4), learning_rates=(0.3, 0.01))
     )
@@ -820,7 +822,8 @@ def grid_short(spark, sf_dir):
 
 @query("grid_search_forest", _search_oracle(_listed(_FOREST_SETS)))
 def grid_forest(spark, sf_dir):
-    """16 of the 126 sets, two of each dimension that has more than one: 64 fits and one."""
+    """16 sets: 64 fits and one of the best. Two declared values of every dimension that has
+    several, but the tree counts, 2 and 3, lie outside the declared grid (100 to 300)."""
     search = random_forest_search(depths=(2, 4), rows_per_leaf=(1, 2), n_trees=(2, 3))
     return _searched(spark, sf_dir, search)
 
