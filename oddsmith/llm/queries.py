@@ -194,3 +194,67 @@ def op7(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+def _codes_sql() -> str:
+    """Two rounds and the last assignment, one after another, by full search."""
+    steps = []
+    for step in range(3):
+        steps.append(f"""far{step} AS (SELECT v.rid, v.part, e.entry, CAST(sum((v.x - e.x) * (v.x - e.x)) AS BIGINT) AS far
+    FROM v JOIN books{step} e USING (part, pos) GROUP BY ALL),
+  held{step} AS (SELECT rid, part, entry, far FROM far{step}
+    QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY far, entry) = 1)""")
+        if step < 2:
+            steps.append(f"""sums{step} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+    FROM v JOIN held{step} USING (rid, part) GROUP BY ALL),
+  books{step + 1} AS (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, x) AS x
+    FROM books{step} LEFT JOIN sums{step} USING (part, entry, pos))""")
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  r AS (SELECT *, row_number() OVER (ORDER BY vec_id, x) AS rid, len(x) // 16 AS width FROM k),
+  u AS (SELECT rid, width, unnest(x) AS x, unnest(range(len(x))) AS i FROM r),
+  v AS (SELECT rid, i // width AS part, i % width AS pos, x FROM u),
+  books0 AS (SELECT part, rid - 1 AS entry, pos, x FROM v WHERE rid <= 64),
+  {", ".join(steps)},
+  coded AS (SELECT rid, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+    FROM held2 GROUP BY rid)
+SELECT vec_id, label, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM books2) AS codebooks_sha256
+FROM coded JOIN r USING (rid)"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark, sf_dir):
+    from oddsmith.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+_DIVERGENCE_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+  c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY ALL),
+  v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+  g AS (SELECT lang, source, coalesce(sum(c.n), 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+  p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n,
+           1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (g.n + 5 * v.v) AS p,
+           1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 5)) // (v.n + 5 * v.v) AS q
+    FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+  pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  told AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM told)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query("op13_source_divergence", _DIVERGENCE_SQL)
+def op13(spark, sf_dir):
+    from oddsmith.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
