@@ -258,3 +258,10 @@ def op13(spark, sf_dir):
     from oddsmith.llm.divergence import source_divergence
 
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op11_personal_data")
+def op11(spark, sf_dir):
+    from oddsmith.llm.personal_data import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
