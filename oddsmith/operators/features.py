@@ -8,6 +8,7 @@ frames, and holds built-in expressions only.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
@@ -94,12 +95,12 @@ class CodeMap:
 @dataclass(frozen=True)
 class Categories:
     """A category as it is, missing being a value too. One-hot: a named column for each
-    value. ``wide`` is for categories of very many values: they are numbered, and encoded
-    as one sparse vector, without columns of their own. More than ``limit`` values raise,
-    if a limit is given."""
+    value, at most ``limit`` of them (more raise). ``wide`` is for categories of very many
+    values: they are numbered, and encoded as one sparse vector, without columns of their
+    own and without a limit."""
 
     column: str
-    limit: int | None = None
+    limit: int | None = 1_000
     wide: bool = False
 
     def encoded(self) -> str:
@@ -176,7 +177,26 @@ class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return input_columns(self.branches)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        means, seen = self._statistics(dataset)
+        return self._built(dataset, *self._learned([self._statistics(dataset)]))
+
+    def fit_without(self, dataset: DataFrame, fold: str, folds: int) -> list[PipelineModel]:
+        """The encoder fitted without each fold in turn: what fits to the other folds' rows
+        would be. Sums and seen values are gathered by fold in the passes of one fit, and
+        each encoder puts those of the other folds together.
+
+        ``fold`` numbers the folds from 0; rows without a number belong to every encoder.
+        Wide categories are numbered by Spark's own indexer, in a fit for each fold.
+        """
+        of_fold = self._statistics(dataset, fold)
+        rows = dataset.drop(fold)
+        found = []
+        for out in range(folds):
+            others = [told for number, told in of_fold.items() if number != out]
+            wide = dataset.where(~F.col(fold).eqNullSafe(out)).drop(fold)
+            found.append(self._built(rows, *self._learned(others), wide))
+        return found
+
+    def _built(self, dataset: DataFrame, means: dict, seen: dict, wide: DataFrame | None = None) -> PipelineModel:
         base: list[str] = []
         flags: list[str] = []
         features: list[str] = []
@@ -203,7 +223,7 @@ class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             elif isinstance(branch, Categories) and branch.wide:
                 category = f"_category_{at}"
                 base.append(f"{_told(branch)} AS {category}")
-                numbered += self._wide(dataset, branch, category)
+                numbered += self._wide(dataset if wide is None else wide, branch, category)
                 features.append(f"{category}_hot")
             else:
                 category = f"_category_{at}"
@@ -223,27 +243,43 @@ class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         stages.append(VectorAssembler(inputCols=features, outputCol=self.output))
         return PipelineModel(stages)
 
-    def _statistics(self, dataset: DataFrame) -> tuple[dict, dict]:
-        """Means, and which values occur: one aggregation over the train rows, as
-        narrow as the branches. Values of a bare category take a pass each."""
+    def _statistics(self, dataset: DataFrame, fold: str | None = None) -> dict:
+        """Sums and counts of numbers, and which values occur: one aggregation over the
+        train rows, as narrow as the branches. Values of a bare category take a pass each.
+        With ``fold`` a record of each fold, by its number; otherwise one record."""
         wanted = {}
         for at, branch in enumerate(self.branches):
             if isinstance(branch, MeanImpute):
                 for i, column in enumerate(branch.columns):
-                    wanted[f"m{at}_{i}"] = F.expr(f"avg({nan_to_null(quoted(column))})")
+                    number = nan_to_null(quoted(column))
+                    wanted[f"m{at}_{i}"] = F.expr(f"struct(sum(CAST({number} AS DOUBLE)) AS sum, count({number}) AS n)")
             elif isinstance(branch, (KeepList, CodeMap)):
                 for i, value in enumerate(branch.values()):
                     is_seen = f"bool_or({branch.encoded()} = {literal(value)})"
                     wanted[f"v{at}_{i}"] = F.expr(is_seen)
-        row = dataset.agg(*[e.alias(k) for k, e in wanted.items()]).first() if wanted else {}
+        by = [] if fold is None else [fold]
+        told = [e.alias(k) for k, e in wanted.items()] or [F.lit(True).alias("_none")]
+        found = {row[fold] if fold else None: row.asDict() for row in dataset.groupBy(*by).agg(*told).collect()}
+        for at, branch in enumerate(self.branches):
+            if isinstance(branch, Categories) and not branch.wide:
+                for number, values in _distinct_values(dataset, branch, fold).items():
+                    found[number][f"c{at}"] = values
+        return found if fold else found[None]
+
+    def _learned(self, records: Sequence[dict]) -> tuple[dict, dict]:
+        """Means and seen values of some folds together."""
         means, seen = {}, {}
         for at, branch in enumerate(self.branches):
             if isinstance(branch, MeanImpute):
-                means.update({c: row[f"m{at}_{i}"] for i, c in enumerate(branch.columns)})
+                for i, column in enumerate(branch.columns):
+                    parts = [r[f"m{at}_{i}"] for r in records]
+                    n = sum(part["n"] for part in parts)
+                    means[column] = math.fsum(part["sum"] or 0.0 for part in parts) / n if n else None
             elif isinstance(branch, (KeepList, CodeMap)):
-                seen[at] = [v for i, v in enumerate(branch.values()) if row[f"v{at}_{i}"]]
-            elif isinstance(branch, Categories) and not branch.wide:
-                seen[at] = _distinct_values(dataset, branch)
+                seen[at] = [v for i, v in enumerate(branch.values()) if any(r[f"v{at}_{i}"] for r in records)]
+            elif not isinstance(branch, _NUMERIC) and not branch.wide:
+                values = set().union(*[r.get(f"c{at}", ()) for r in records])
+                seen[at] = sorted(v for v in values if v is not None) + [None] * (None in values)
         return means, seen
 
     def _wide(self, dataset: DataFrame, branch: Categories, category: str) -> list[Model]:
@@ -276,13 +312,15 @@ def _told(branch: Categories) -> str:
     return f"coalesce(concat('=', CAST({quoted(branch.column)} AS STRING)), '-')"
 
 
-def _distinct_values(dataset: DataFrame, branch: Categories) -> list:
+def _distinct_values(dataset: DataFrame, branch: Categories, fold: str | None) -> dict[int | None, set]:
+    """The values of each fold; of all folds together at most ``limit``, else it raises."""
     distinct = dataset.select(branch.column).distinct()
-    found = (distinct if branch.limit is None else distinct.limit(branch.limit + 1)).collect()
-    if branch.limit is not None and len(found) > branch.limit:
+    if branch.limit is not None and distinct.limit(branch.limit + 1).count() > branch.limit:
         raise ValueError(f"{branch.column} has more than {branch.limit} values")
-    values = [row[0] for row in found]
-    return sorted(v for v in values if v is not None) + [None] * (None in values)
+    found: dict[int | None, set] = {}
+    for value, *number in dataset.select(branch.column, *([fold] if fold else [])).distinct().collect():
+        found.setdefault(number[0] if number else None, set()).add(value)
+    return found
 
 
 def feature_names(model: PipelineModel, prefix: str = PREFIX) -> list[str]:

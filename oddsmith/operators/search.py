@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsmith.operators.boosting import SecondOrderModel, SecondOrderTrees, fit_grid
 from oddsmith.operators.evaluate import RocAuc, roc_auc
+from oddsmith.operators.features import FeatureEncoder
 from oddsmith.operators.models import (
     LABEL,
     PenalizedLogit,
-    boosted_trees,
     random_forest,
     score,
     with_rows,
@@ -60,8 +61,8 @@ def boosted_tree_search(
     learning_rates=(0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.2, 0.3),
     **options,
 ) -> Search:
-    """256 parameter sets."""
-    trees = boosted_trees(seed=42)
+    """256 parameter sets of second-order trees: 64 fits a fold, see ``fit_grid``."""
+    trees = SecondOrderTrees()
     grid = {trees.maxDepth: depths, trees.maxIter: n_trees, trees.stepSize: learning_rates}
     return Search(trees, _grid(grid), **options)
 
@@ -72,7 +73,7 @@ def boosted_tree_search_short(
     learning_rates=(0.3, 0.1, 0.01, 0.05),
     **options,
 ) -> Search:
-    """128 parameter sets: other tree counts, four rates."""
+    """128 parameter sets: other tree counts, four rates; 32 fits a fold."""
     return boosted_tree_search(depths, n_trees, learning_rates, **options)
 
 
@@ -114,6 +115,7 @@ def grid_search(
     *,
     partitions: int | None = None,
     checkpoints: str | None = None,
+    encoder: FeatureEncoder | None = None,
 ) -> CrossValidatorModel:
     """Fit every parameter set on all folds but one, each fold left out once, then
     the best set on all train rows.
@@ -125,29 +127,76 @@ def grid_search(
     ``placed``. A fold whose left-out rows have one outcome has no AUC and no part in the
     mean; a candidate without any AUC has NaN.
 
-    An encoder fitted beforehand has seen all train rows. To fit it anew without
-    each fold, search over a ``Pipeline`` of encoder and classifier on raw rows.
+    An encoder fitted beforehand has seen all train rows. With ``encoder`` the rows are raw,
+    and each fold's models see them through an encoder that knows nothing of the fold: all
+    of these come from one pass, see ``FeatureEncoder.fit_without``. The model is then a
+    pipeline that takes raw rows, its encoder fitted to all. Any other preprocessing
+    can be refitted by a search over a ``Pipeline``.
+
+    Sets of ``SecondOrderTrees`` are fitted in shared passes. Those that differ in their
+    number of trees alone are one fit, judged on the way; no row placement changes it.
     """
     require_checkpoints(train.sparkSession, search.estimator, checkpoints)
     keys = [key] if isinstance(key, str) else list(key)
     folded = assign_folds(
         train, keys, search.folds, search.seed, stratify=label if search.stratified else ()
     )
+    if isinstance(search.estimator, SecondOrderTrees):
+        if encoder is not None:
+            raise ValueError("fits that share their passes share their features: fit the encoder beforehand")
+        model, means = _staged(folded.drop(*keys), search)
+        return _validated(search, label, model, means)
     with kept(placed(folded, partitions, *keys).drop(*keys)) as rows:
         sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
         total = sum(sizes.values())
         found: list[list[float]] = [[] for _ in search.grid]
+        encoders = encoder.fit_without(rows, "fold", search.folds) if encoder else []
         for fold in range(search.folds):
             others = rows.where(F.col("fold") != fold).drop("fold")
             left_out = rows.where(F.col("fold") == fold).drop("fold")
+            if encoders:
+                others, left_out = (encoders[fold].transform(part).select(label, encoder.output) for part in (others, left_out))
             models = _fit_all(with_rows(search.estimator, total - sizes.get(fold, 0)), others, search)
             for at, auc in _aucs(models, left_out, label).items():
                 found[at].append(auc)
-        means = [sum(aucs) / len(aucs) if aucs else math.nan for aucs in found]
-        if all(math.isnan(mean) for mean in means):
-            raise ValueError("no fold has both outcomes, so no candidate has an AUC")
-        best = max(range(len(means)), key=lambda i: (not math.isnan(means[i]), means[i]))
-        model = with_rows(search.estimator, total).fit(rows.drop("fold"), search.grid[best])
+        means, best = _judged(found)
+        best_one = with_rows(search.estimator, total)
+        if encoder is None:
+            model = best_one.fit(rows.drop("fold"), search.grid[best])
+        else:
+            fitted = encoder.fit(rows.drop("fold"))
+            encoded = fitted.transform(rows).select(label, encoder.output)
+            model = PipelineModel([fitted, best_one.fit(encoded, search.grid[best])])
+    return _validated(search, label, model, means)
+
+
+def _judged(found: Sequence[Sequence[float]]) -> tuple[list[float], int]:
+    """The mean AUC of each candidate, and the best, the first of equal ones."""
+    means = [sum(aucs) / len(aucs) if aucs else math.nan for aucs in found]
+    if all(math.isnan(mean) for mean in means):
+        raise ValueError("no fold has both outcomes, so no candidate has an AUC")
+    return means, max(range(len(means)), key=lambda i: (not math.isnan(means[i]), means[i]))
+
+
+def _staged(rows: DataFrame, search: Search) -> tuple[SecondOrderModel, list[float]]:
+    """One fit for all sets that differ in their number of trees alone."""
+    trees = search.estimator
+    own = [trees.copy(params) for params in search.grid]
+    counts = [one.getOrDefault(trees.maxIter) for one in own]
+    alike = [(one.options(), one.getOrDefault(trees.maxBins)) for one in own]
+    if len({bins for _, bins in alike}) > 1:
+        raise ValueError("the sets of one search share their bins: maxBins is no choice of a grid")
+    fits = list(dict.fromkeys(alike))
+    of_set = [fits.index(one) for one in alike]
+    stages = [sorted({n for n, at in zip(counts, of_set) if at == fit}) for fit in range(len(fits))]
+    estimators = [own[of_set.index(fit)] for fit in range(len(fits))]
+    grid = fit_grid(rows, estimators, stages, search.folds, lambda df: roc_auc(df, "label", "score", "fit", weight="weight"))
+    keys = [[(fit, n, fold) for fold in range(search.folds)] for fit, n in zip(of_set, counts)]
+    means, best = _judged([[grid.aucs[key] for key in some if key in grid.aucs] for some in keys])
+    return own[best].model(grid.trees[of_set[best]][: counts[best]], grid.cuts), means
+
+
+def _validated(search: Search, label: str, model: Model, means: list[float]) -> CrossValidatorModel:
     validator = CrossValidator(
         estimator=search.estimator,
         estimatorParamMaps=search.grid,

@@ -205,3 +205,36 @@ def test_float_means_are_exact_literals(spark):
     model = FeatureEncoder([MeanImpute(["x"])]).fit(frame)
     found = [r[0] for r in model.transform(frame).select("x_x").collect()]
     assert math.isclose(found[2], 0.15, rel_tol=1e-15)
+
+
+def test_encoders_without_a_fold_equal_refits(spark):
+    """Means, kept values and categories; one fold has a value of its own."""
+    rows = [(i, float(i * i % 17) if i % 3 else None, ["a", "b", "only"][2 if i % 40 == 0 else i % 2], i % 4 if i else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, fold int").withColumn("d", F.col("c"))
+    encoder = FeatureEncoder([MeanImpute(["x"]), KeepList("c", ["a", "only"]), Categories("d")], handle_unknown="ignore")
+    for fold, model in enumerate(encoder.fit_without(df, "fold", 4)):
+        others = df.where(~F.col("fold").eqNullSafe(fold)).drop("fold")
+        again = encoder.fit(others)
+        assert feature_names(model) == feature_names(again)
+        mine, theirs = ([r["features"].toArray().round(9).tolist() for r in m.transform(df).orderBy("id").collect()] for m in (model, again))
+        assert mine == theirs
+
+
+def test_encoders_without_a_fold_take_the_passes_of_one_fit(spark):
+    df = spark.range(100).selectExpr("id", "id * 1D AS x", "int(id % 4) AS fold")
+    calls = []
+    kind = type(df)
+    own = kind.collect
+    kind.collect = lambda self: (calls.append(1), own(self))[1]
+    try:
+        FeatureEncoder([MeanImpute(["x"])]).fit_without(df, "fold", 4)
+    finally:
+        kind.collect = own
+    assert len(calls) == 1
+
+
+def test_named_categories_are_bounded(spark):
+    df = spark.range(1_001).selectExpr("id", "string(id) AS c")
+    with pytest.raises(ValueError, match="more than 1000"):
+        FeatureEncoder([Categories("c")]).fit(df)
+    assert FeatureEncoder([Categories("c", wide=True)]).fit(df) is not None

@@ -81,6 +81,6 @@ def test_queries_fit_as_many_trees_as_the_worked_experiment(spark, monkeypatch,
     assert counts and set(counts) == {100}
 
 
-@pytest.mark.parametrize("name", ["grid_search", "grid_search_short", "grid_search_forest"])
+@pytest.mark.parametrize("name", ["grid_search_forest"])
 def test_searches_tell_that_their_tree_counts_are_not_declared(name):
     assert "lie outside" in " ".join(registry.queries()[name].__doc__.split())
