@@ -100,8 +100,8 @@ def _count(k: int, width: int, bins: int):
             away = found.view(np.uint64) - low.view(np.uint64)[:, None]
             slot = np.minimum(away // np.uint64(width), np.uint64(bins)).astype(np.int64)
             slot[(found < low[:, None]) | own] = -1
-            best = -np.sort(-np.partition(-slot, min(k, slot.shape[1]) - 1, axis=1)[:, :k], axis=1)
-            least = np.maximum(best[:, min(k, best.shape[1]) - 1], 0)
+            kth = min(k, slot.shape[1])
+            least = np.maximum(-np.partition(-slot, kth - 1, axis=1)[:, kth - 1], 0)
             query, at = np.nonzero(slot >= least[:, None])
             key, n = np.unique(query * (bins + 1) + slot[query, at], return_counts=True)
             yield pa.RecordBatch.from_arrays(

@@ -52,3 +52,23 @@ def test_query(spark):
     rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in table.select("vec_id", "embedding").collect()]
     got = QUERIES["op6_exact_top_k"](spark, TESTDATA).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 5)
+
+
+def test_a_block_sends_no_more_ranges_than_results():
+    """At most k of each query, whatever the scores of the others."""
+    import pyarrow as pa
+
+    from oddsmith.llm.topk import _count
+
+    rng = np.random.default_rng(4)
+    q, v = rng.integers(-256, 256, (20, 8)).astype(np.float32), rng.integers(-256, 256, (500, 8)).astype(np.float32)
+    row = {"q_block": 7, "dim": 8, "q_ids": np.arange(20).tobytes(), "ids": np.arange(500).tobytes(), "q_v": q.tobytes(),
+           "v": v.tobytes(), "q_top": 256.0, "top": 256.0, "low": [-(1 << 20)] * 20}
+    sent = pa.Table.from_batches(list(_count(5, 128, 1 << 14)(iter([pa.RecordBatch.from_pylist([row])])))).to_pydict()
+    scores = (q @ v.T).astype(int)
+    for at in range(20):
+        own = [(s, n) for a, s, n in zip(sent["at"], sent["slot"], sent["n"]) if a == at]
+        best = sorted((x for i, x in enumerate(scores[at]) if i != at), reverse=True)[:5]
+        slots = sorted(((x + (1 << 20)) // 128 for x in best), reverse=True)
+        assert len(own) <= 5 and sorted({s for s, _ in own}, reverse=True) == sorted(set(slots), reverse=True)
+        assert sum(n for _, n in own) >= 5
