@@ -315,6 +315,8 @@ class SecondOrderTrees(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsRead
     NaN is missing: each split learns on which side such rows go.
     """
 
+    builds_on_itself = True
+
     maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits", TypeConverters.toInt)
     maxIter = Param(Params._dummy(), "maxIter", "trees", TypeConverters.toInt)
     stepSize = Param(Params._dummy(), "stepSize", "share of a step taken", TypeConverters.toFloat)

@@ -60,10 +60,18 @@ def run_log_rows(
 
 
 def append_run_log(rows: DataFrame, table: str, schema: str) -> None:
-    """Append to the log table; it is made on first use. One small file per run."""
-    rows.coalesce(1).write.mode("append").partitionBy("experiment_id").saveAsTable(
-        table_name(schema, table)
-    )
+    """Append to the log table; it is made on first use. One small file per run.
+
+    A run that the table has already is left out, so an append that is tried again,
+    after it failed or was not heard of, leaves one run. A run is one file, which is there
+    as a whole or not at all. Only the log's partitions of the same experiments are read.
+    """
+    spark, target = rows.sparkSession, table_name(schema, table)
+    if spark.catalog.tableExists(target):
+        ids = [row[0] for row in rows.select("experiment_id").distinct().collect()]
+        there = spark.read.table(target).where(F.col("experiment_id").isin(ids))
+        rows = rows.join(there.select("experiment_id", "run_id"), ["experiment_id", "run_id"], "left_anti").select(*rows.columns)
+    rows.coalesce(1).write.mode("append").partitionBy("experiment_id").saveAsTable(target)
 
 
 def best_run(log: DataFrame, metric: str = SPLIT_METRICS["val"]) -> DataFrame:

@@ -24,7 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str
 def _builds_on_itself(estimator: Estimator) -> bool:
     """Boosted trees: each tree's plan holds those of all before it."""
     stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
-    return any(isinstance(stage, GBTClassifier) or hasattr(stage, "checkpointInterval") and hasattr(stage, "splitCost") for stage in stages)
+    return any(isinstance(stage, GBTClassifier) or getattr(stage, "builds_on_itself", False) for stage in stages)
 
 
 def require_checkpoints(spark: SparkSession, estimator: Estimator, folder: str | None = None) -> None:

@@ -176,6 +176,19 @@ def test_log_table_and_best_run(spark, prepared):
     assert best["run_id"] == winner.run.run_id and best["value"] == winner.aucs["val"]
 
 
+def test_an_append_tried_again_leaves_one_run(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS runs")
+
+    def rows(run, experiment):
+        return small_frame(spark, [(run, run, experiment, "metric", "ValAUC", None, 0.7, 0.0), (run, run, experiment, "tag", "a", "b", None, 0.0)], RUN_LOG_SCHEMA)
+
+    for run, experiment in (("a", 1), ("a", 1), ("b", 1), ("a", 2), ("b", 1)):
+        append_run_log(rows(run, experiment), "again", "runs")
+    log = read_table(spark, "again", "runs")
+    assert sorted((r["experiment_id"], r["run_id"]) for r in log.collect()) == sorted([(1, "a"), (1, "b"), (2, "a")] * 2)
+    assert log.columns[-1] == "experiment_id" and best_run(log).count() == 2
+
+
 def test_best_run_ties_and_gaps(spark):
     rows = [
         ("b", "b", 1, "metric", "ValAUC", None, 0.7, 0.0),
