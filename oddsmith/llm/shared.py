@@ -30,9 +30,24 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more: what came from them is
+    itself written, so no lost task asks for them again."""
+    for table in tables:
+        place, files = _place(table.sparkSession, table._written_to)
+        files.delete(place, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], size: str | int, limit: int) -> Iterator[pa.RecordBatch]:
