@@ -43,7 +43,9 @@ from oddsmith.operators.models import (
     random_forest,
     score,
 )
-from oddsmith.operators.profile import mean_by, outcome_rate, split_shapes, target_distribution
+from oddsmith.operators.profile import (
+    POISSON_BOUNDS, mean_by, mean_intervals, outcome_rate, split_shapes, target_distribution,
+)
 from oddsmith.operators.regression import LinearFit
 from oddsmith.operators.schema import check_roles, project_roles, shorten_columns
 from oddsmith.operators.search import (
@@ -268,6 +270,37 @@ def bar_mean(spark, sf_dir):
     return means.withColumn("mean_value", F.round("mean_value", 6))
 
 
+_POISSON = " + ".join(f"(bits >= {bound})::INT" for bound in POISSON_BOUNDS)
+
+
+@query(
+    "bar_mean_intervals",
+    f"""WITH drawn AS (
+          SELECT event_type, value, 4 * block + part AS replicate, CAST('0x' || substr(
+            md5('0:' || block || ':' || coalesce(event_id::VARCHAR, '')), CAST(8 * part + 1 AS INT), 8) AS BIGINT) AS bits
+          FROM events, range(25) AS b(block), range(4) AS p(part) WHERE value IS NOT NULL),
+        sums AS (
+          SELECT event_type, replicate, sum(weight * value) / sum(weight) AS mean
+          FROM (SELECT event_type, value, replicate, {_POISSON} AS weight FROM drawn)
+          GROUP BY ALL HAVING sum(weight) > 0),
+        ranked AS (
+          SELECT event_type, mean, row_number() OVER (PARTITION BY event_type ORDER BY mean) AS place,
+            count(*) OVER (PARTITION BY event_type) AS places FROM sums),
+        ends AS (
+          SELECT event_type, min(mean) FILTER (place = greatest(ceil(round(0.025 * places, 9)), 1)) AS low,
+            min(mean) FILTER (place = ceil(round(0.975 * places, 9))) AS high FROM ranked GROUP BY 1),
+        means AS (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1)
+        SELECT m.event_type, round(mean, 6) AS mean_value, n, round(low, 6) AS low_value, round(high, 6) AS high_value
+        FROM means m LEFT JOIN ends e ON m.event_type IS NOT DISTINCT FROM e.event_type""",
+)
+def bar_mean_intervals(spark, sf_dir):
+    """A bar's mean and the ends of its bootstrap interval, of 100 replicates."""
+    found = mean_intervals(_table(spark, sf_dir, "events"), "event_type", "value", "event_id")
+    for name in ("mean_value", "low_value", "high_value"):
+        found = found.withColumn(name, F.round(name, 6))
+    return found
+
+
 # --- splits
 
 

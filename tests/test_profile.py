@@ -1,7 +1,10 @@
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from oddsmith.operators.profile import mean_by, outcome_rate, split_shapes, target_distribution
+from oddsmith.operators.profile import POISSON_BOUNDS, mean_by, mean_intervals, outcome_rate, split_shapes, target_distribution
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +65,49 @@ def test_distribution_leaves_out_missing_targets(spark):
         ("train", 4, 3, 1),
         ("val", 1, 3, 1),
     ]
+
+
+def _weight(seed, key, replicate):
+    text = hashlib.md5(f"{seed}:{replicate // 4}:{'' if key is None else key}".encode()).hexdigest()
+    bits = int(text[replicate % 4 * 8 :][:8], 16)
+    return sum(bits >= bound for bound in POISSON_BOUNDS)
+
+
+@pytest.mark.parametrize("replicates, level, seed", [(100, 0.95, 0), (9, 0.5, 3), (1, 0.9, 0)])
+def test_intervals_are_those_of_plain_replicates(spark, replicates, level, seed):
+    rows = [(i, "ab"[i % 3 // 2], float(i * i % 17)) for i in range(60)]
+    rows += [(None, "a", 4.0), (61, None, 2.0), (62, None, 5.0), (63, "a", None), (64, "none", None)]
+    frame = spark.createDataFrame(rows, "id long, x string, y double").repartition(5)
+    found = mean_intervals(frame, "x", "y", "id", replicates=replicates, level=level, seed=seed)
+    assert found.columns == ["x", "mean_y", "n", "low_y", "high_y"]
+    found = {r["x"]: tuple(r)[1:] for r in found.collect()}
+    assert set(found) == {"a", "b", None, "none"}
+    assert found["none"] == (None, 0, None, None)
+    for x in ("a", "b", None):
+        mine = [(key, y) for key, z, y in rows if z == x and y is not None]
+        means = []
+        for r in range(replicates):
+            weights = [_weight(seed, key, r) for key, _ in mine]
+            if sum(weights):
+                means.append(sum(w * y for w, (_, y) in zip(weights, mine)) / sum(weights))
+        means.sort()
+        ends = [None, None]
+        if means:
+            ranks = (math.ceil(round(share * len(means), 9)) for share in ((1 - level) / 2, (1 + level) / 2))
+            ends = [means[max(rank, 1) - 1] for rank in ranks]
+        expected = (sum(y for _, y in mine) / len(mine), len(mine), *ends)
+        assert found[x] == pytest.approx(expected)
+
+
+def test_intervals_are_as_wide_as_the_normal_ones(spark):
+    frame = spark.range(4000).select("id", F.lit("a").alias("x"), (F.col("id") % 10 < 3).cast("int").alias("y"))
+    row = mean_intervals(frame, "x", "y", "id", replicates=200).first()
+    assert row["low_y"] < 0.3 < row["high_y"]
+    assert row["high_y"] - row["low_y"] == pytest.approx(2 * 1.96 * math.sqrt(0.3 * 0.7 / 4000), rel=0.25)
+
+
+def test_intervals_want_replicates_and_a_level(spark):
+    frame = spark.range(1).withColumn("y", F.lit(1))
+    for options in ({"replicates": 0}, {"level": 1.0}):
+        with pytest.raises(ValueError):
+            mean_intervals(frame, "id", "y", "id", **options)
