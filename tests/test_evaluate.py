@@ -16,6 +16,7 @@ from oddsmith.operators.evaluate import (
     explained_variance,
     roc_auc,
     roc_points,
+    roc_vertices,
     score_bounds,
 )
 
@@ -204,3 +205,63 @@ def test_weighted_rows_count_as_many(spark):
     assert roc_auc(weighted, "y", "s", weight="n").collect() == roc_auc(plain, "y", "s").collect()
     a, b = (roc_points(f, "y", "s", weight=w) for f, w in ((weighted, "n"), (plain, None)))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def _corners(rows):
+    """Corners of a curve by walking it."""
+    points, tp, fp = [(math.inf, 0, 0)], 0, 0
+    for value in sorted({s for _, s in rows}, reverse=True):
+        tp += sum(y for y, s in rows if s == value)
+        fp += sum(1 - y for y, s in rows if s == value)
+        points.append((value, tp, fp))
+    inner = [
+        b for a, b, c in zip(points, points[1:], points[2:])
+        if (b[1] - a[1]) * (c[2] - b[2]) != (c[1] - b[1]) * (b[2] - a[2])
+    ]
+    return [points[0], *inner, points[-1]]
+
+
+def _area(points):
+    points = sorted(points, key=lambda x: (x[1], x[2]))
+    return sum((b[2] - a[2]) * (b[1] + a[1]) / 2 for a, b in zip(points, points[1:]))
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 7, 10**6])
+def test_vertices_are_those_of_a_walk(spark, rows_per_bucket):
+    draw = np.random.default_rng(5)
+    rows = [(int(y), float(s)) for y, s in zip(draw.integers(0, 2, 80), draw.integers(0, 30, 80))]
+    rows += [(i % 2, 100.0 + i // 4) for i in range(40)]  # a straight run over many buckets
+    frame = spark.createDataFrame([(y, s, g) for y, s in rows for g in (None, "g")], "y int, s double, g string")
+    found = roc_vertices(frame, "y", "s", "g", rows_per_bucket=rows_per_bucket).collect()
+    pos, neg = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+    for g in (None, "g"):
+        mine = sorted((tuple(r)[1:4] for r in found if r["g"] == g), key=lambda x: (x[1], x[2]))
+        assert mine == _corners(rows)
+        assert _area(mine) / (pos * neg) == pytest.approx(pairs_won(rows))
+    assert len(found) < 2 * (len({s for _, s in rows}) - 8)
+
+
+def test_bounded_curves_keep_their_area(spark):
+    draw = np.random.default_rng(6)
+    scores = draw.normal(size=3000)
+    rows = [(int(draw.random() < 1 / (1 + math.exp(-s))), float(s)) for s in scores]
+    frame = scored(spark, rows)
+    pos, exact = sum(y for y, _ in rows), auc_of(frame)
+    for most in (3, 20, 101):
+        points = [tuple(r)[:3] for r in roc_vertices(frame, "y", "s", most=most, rows_per_bucket=100).collect()]
+        assert len(points) <= most
+        assert abs(_area(points) / (pos * (len(rows) - pos)) - exact) <= 1 / (2 * ((most - 1) // 2))
+    with pytest.raises(ValueError):
+        roc_vertices(frame, "y", "s", most=2)
+
+
+def test_vertices_of_odd_tables(spark):
+    frame = spark.createDataFrame([], "y int, s double")
+    assert roc_vertices(frame, "y", "s").count() == 0
+    ones = scored(spark, [(1, 0.5), (1, 0.7), (1, 0.9)])
+    for most in (None, 5):
+        found = sorted(tuple(r)[1:] for r in roc_vertices(ones, "y", "s", most=most).collect())
+        assert found == [(0, 0, 0.0, None), (3, 0, 1.0, None)]
+    weighted = spark.createDataFrame([(1, 0.9, 2), (0, 0.8, 0), (1, 0.7, 2), (0, 0.5, 4)], "y int, s double, w int")
+    found = sorted(tuple(r)[1:3] for r in roc_vertices(weighted, "y", "s", weight="w").collect())
+    assert found == [(0, 0), (4, 0), (4, 4)]
