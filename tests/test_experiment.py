@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.ml import Pipeline
@@ -255,6 +256,40 @@ def test_splits_work_on_streams(spark, prepared, tmp_path):
     assert streamed.exceptAll(expected).count() == 0 and streamed.count() == 3000
 
 
+def test_a_stopped_stream_goes_on_where_it_was(spark, prepared, tmp_path):
+    from oddsmith.operators.features import FeatureEncoder, MeanImpute
+    from oddsmith.operators.schema import shorten_columns
+    from oddsmith.operators.split import split_random
+
+    raw = prepared.data.df.select("lead_id", "create_date", "f1")
+    raw = raw.toDF(*(f"view.{name}" for name in raw.columns))
+    raw.repartition(6).write.parquet(str(tmp_path / "in"))
+    encoder = FeatureEncoder([MeanImpute(["f1"])]).fit(shorten_columns(raw))
+
+    def steps(rows):
+        return encoder.transform(split_random(prepared.data.dates.apply(shorten_columns(rows)), "lead_id", split="side"))
+
+    def start(now):
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return append_scores(steps(stream), str(tmp_path / "out"), str(tmp_path / "state"), available_now=now)
+
+    query = start(False)
+    while not query.recentProgress or query.recentProgress[-1]["numInputRows"] == 0:
+        assert query.exception() is None
+        time.sleep(0.05)
+    query.stop()
+    before = spark.read.parquet(str(tmp_path / "out")).count()
+    assert 0 < before < raw.count()
+    query = start(True)
+    assert query.awaitTermination(120)
+    expected = steps(raw)
+    streamed = spark.read.parquet(str(tmp_path / "out")).select(expected.columns)
+    assert streamed.count() == raw.count()
+    assert streamed.select("lead_id").distinct().count() == raw.count()
+    drop = [name for name, kind in expected.dtypes if kind == "vector"]
+    assert streamed.drop(*drop).exceptAll(expected.drop(*drop)).count() == 0
+
+
 def test_data_needs_its_columns(leads):
     with pytest.raises(ValueError, match="no such column"):
         presets.lead_data(leads, ["nope"], ["i1"], ["b1"], STRINGS)
