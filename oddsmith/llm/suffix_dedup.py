@@ -8,11 +8,13 @@ each text many times over, so equal strings are first brought together:
    is its anchor. Equal windows have equal anchors; neighbouring windows mostly
    share theirs, and make a *span*. ``packed`` finds the anchors that several
    documents hold.
-2. Spans of those anchors go to the task of the anchor's range, each distinct span of
-   a batch once, for its smallest document. Hot anchors are dealt as single windows.
-3. There, spans of anchors with one distinct span are settled by the smallest id.
-   The others, at the edges of repeated passages, are laid behind one another, and
-   their suffixes sorted to the depth of ``length``. Breadth-first backward extension
+2. Spans of those anchors go, as hashes, to the task of the anchor's range, each distinct
+   span of a batch once, for its smallest document. Hot anchors are dealt as single
+   windows. Anchors with one distinct span are settled there by the smallest id, so
+   single windows always are.
+3. Of the other anchors, at the edges of repeated passages, each distinct span's text is
+   asked for once. The texts are laid behind one another, and their suffixes sorted to
+   the depth of ``length``. Breadth-first backward extension
    on the Burrows-Wheeler transform then derives common prefixes by increasing value:
    from the intervals of all strings W of n bytes come those of all cW, until n
    reaches ``length``. Each last interval is one distinct window, and takes the
@@ -34,10 +36,13 @@ from pyspark.sql import functions as F
 from oddsmith.llm.packed import (
     PIECE_BYTES, expand, is_in, pack, parts, range_bits, rows_of, shared_values, squeeze, unpack, with_shared_anchors,
 )
+from oddsmith.llm.shared import written
 from oddsmith.llm.words import Texts, mix, powers, prefix_sums, ranges, substring_hash
 
 ANCHOR_BYTES = 24
-_ENTRY = np.dtype([("row", "<i4"), ("doc", "<i8"), ("at", "<i8"), ("anchor", "<u8"), ("n", "<i4")])
+_ENTRY = np.dtype([("row", "<i4"), ("doc", "<i8"), ("at", "<i8"), ("anchor", "<u8"), ("n", "<i4"), ("span", "<u8")])
+#: An entry of a known batch.
+_HELD = np.dtype([("batch", "<i8"), *_ENTRY.descr])
 _RANGE = np.dtype([("row", "<i4"), ("a", "<i8"), ("b", "<i8")])
 
 
@@ -103,7 +108,14 @@ def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return joined
 
 
-_SENT = "part int, batch long, entries binary, text binary, done binary"
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where rows in order differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
+
+
+_SENT = "part int, batch long, entries binary, done binary"
 
 
 def _send(length: int, bits: int):
@@ -113,7 +125,7 @@ def _send(length: int, bits: int):
         for item in rows_of(batches):
             ids, texts = unpack(item)
             shared, hot = shared_values(item)
-            found, hashes = [], []
+            found = []
             for first, part in parts(texts):
                 doc, a, b, anchor, sums = _spans(part, length)
                 keep = is_in(anchor, shared)
@@ -126,38 +138,34 @@ def _send(length: int, bits: int):
                     doc, a, b, anchor, single = doc[of], a[of] + step, b[of], anchor[of], single[of]
                     b = np.where(single, a, b)
                 span = substring_hash(sums, a, b + length)
-                anchor = np.where(single, span, anchor)
                 entry = np.zeros(len(a), _ENTRY)
                 entry["row"], entry["doc"] = first + doc, ids[first + doc]
-                entry["at"], entry["anchor"], entry["n"] = a - part.offsets[doc], anchor, b - a + length
+                entry["at"], entry["n"] = a - part.offsets[doc], b - a + length
+                entry["anchor"], entry["span"] = np.where(single, span, anchor), span
                 found.append(entry)
-                hashes.append(span)
-            entry, span = np.concatenate(found), np.concatenate(hashes)
-            order = np.lexsort((entry["doc"], span, entry["anchor"]))
-            entry, span = entry[order], span[order]
-            new = np.ones(len(entry), bool)
-            new[1:] = (span[1:] != span[:-1]) | (entry["anchor"][1:] != entry["anchor"][:-1])
-            start = np.flatnonzero(new)
+            entry = np.concatenate(found)
+            entry = entry[np.lexsort((entry["doc"], entry["span"], entry["anchor"]))]
+            start = np.flatnonzero(_new(entry["anchor"], entry["span"]))
             least = np.repeat(entry["doc"][start], np.diff(np.append(start, len(entry))))
             later = entry["doc"] > least  # a smaller document of this batch has the span
             gone, entry = entry[later], entry[~later]
             done = merged(gone["row"], gone["at"], gone["at"] + gone["n"])
             part = (entry["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
             at = np.searchsorted(part, np.arange((1 << bits) + 1))
-            begin = texts.offsets[entry["row"]] + entry["at"]
             out = []
             if len(done):
-                out.append((int(item["batch"] % (1 << bits)), item["batch"], None, None, squeeze(done)))
+                out.append((int(item["batch"] % (1 << bits)), item["batch"], None, squeeze(done)))
             for p, (a, b) in enumerate(zip(at[:-1], at[1:])):
                 if a < b:
-                    text = texts.data[ranges(begin[a:b], entry["n"][a:b])].tobytes()
-                    text = zstandard.ZstdCompressor(level=3).compress(text)
-                    out.append((p, item["batch"], squeeze(entry[a:b]), text, None))
+                    some = entry[a:b].copy()
+                    some["span"] ^= some["anchor"]  # nothing for single windows
+                    some["anchor"][1:] = np.diff(some["anchor"])  # steps take fewer bytes
+                    out.append((p, item["batch"], squeeze(some), None))
             if out:
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                    names=["part", "batch", "entries", "text", "done"],
+                    names=["part", "batch", "entries", "done"],
                 )
 
     return run
@@ -214,66 +222,106 @@ def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
     return interval[place]
 
 
+_MET = "batch long, part int, gone binary, asked binary, held binary"
+
+
+def _meet(group: pa.Table) -> pa.Table:
+    """Of one range: by batch what goes already; of anchors with several distinct spans
+    all entries, and by batch the places whose text is asked for."""
+    part = int(group.column("part")[0].as_py())
+    out, entries = [], [np.zeros(0, _HELD)]
+    for batch, sent, done in zip(*(group.column(x).to_pylist() for x in ("batch", "entries", "done"))):
+        if done is not None:
+            out.append((batch, None, done, None, None))
+            continue
+        some = expand(sent, _ENTRY)
+        held = np.zeros(len(some), _HELD)
+        for name in _ENTRY.names:
+            held[name] = some[name]
+        held["batch"], held["anchor"] = batch, np.cumsum(some["anchor"], dtype=np.uint64)
+        held["span"] ^= held["anchor"]
+        entries.append(held)
+    entry = np.concatenate(entries)
+    entry = entry[np.lexsort((entry["doc"], entry["span"], entry["anchor"]))]
+    if len(entry):
+        new_anchor, new_span = _new(entry["anchor"]), _new(entry["anchor"], entry["span"])
+        number = np.cumsum(new_anchor) - 1
+        alone = np.bincount(number, weights=new_span)[number] == 1
+        # One distinct span: whole spans of later documents go.
+        least = entry["doc"][np.flatnonzero(new_span)][np.cumsum(new_span) - 1]
+        whole = entry[alone & (entry["doc"] > least)]
+        for batch, row, a, b in _by_batch(whole["batch"], whole["row"], whole["at"], whole["at"] + whole["n"]):
+            out.append((batch, None, squeeze(merged(row, a, b)), None, None))
+        reps = entry[~alone & new_span]
+        for batch, row, a, n in _by_batch(reps["batch"], reps["row"], reps["at"], reps["n"]):
+            asked = np.zeros(len(row), _RANGE)
+            asked["row"], asked["a"], asked["b"] = row, a, a + n
+            out.append((batch, part, None, squeeze(asked), None))
+        if len(reps):
+            out.append((None, part, None, None, squeeze(entry[~alone])))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = list(zip(*out)) or [[]] * len(kinds)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["batch", "part", "gone", "asked", "held"])
+
+
+def _by_batch(batch: np.ndarray, *columns: np.ndarray):
+    """The rows of each batch, in their order."""
+    order = np.argsort(batch, kind="stable")
+    at = np.flatnonzero(_new(batch[order])) if len(batch) else []
+    for i, j in zip(at, np.append(at, len(batch))[1:]):
+        yield int(batch[order[i]]), *(x[order[i:j]] for x in columns)
+
+
+def _give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of the places that ranges ask for."""
+    for item in rows_of(batches):
+        _, texts = unpack(item)
+        for x in item["asked"]:
+            asked = expand(x["asked"], _RANGE)
+            text = texts.data[ranges(texts.offsets[asked["row"]] + asked["a"], asked["b"] - asked["a"])]
+            text = zstandard.ZstdCompressor(level=3).compress(text.tobytes())
+            yield pa.RecordBatch.from_pylist([{"part": x["part"], "batch": item["batch"], "text": text}], schema=_GIVEN)
+
+
+_GIVEN = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("text", pa.binary())])
+
+
 def _settle(length: int):
-    """What goes, for the spans of one range."""
-
-    def run(group: pa.Table) -> pa.Table:
-        out, entries, owners, texts = [], [], [], []
-        columns = (group.column(x).to_pylist() for x in ("batch", "entries", "text", "done"))
-        batches = []
-        for batch, entry, text, done in zip(*columns):
-            if done is not None:
-                out.append((batch, done))
-            else:
-                entries.append(expand(entry, _ENTRY))
-                texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8))
-                owners.append(np.full(len(entries[-1]), len(batches), np.int32))
-                batches.append(batch)
-        if entries:
-            entry, owner, text = map(np.concatenate, (entries, owners, texts))
-            for i, gone in _gone(entry, owner, text, length):
-                out.append((batches[i], squeeze(gone)))
+    """What goes, for the anchors of one range that have several distinct spans."""
+
+    def run(held: pa.Table, given: pa.Table) -> pa.Table:
+        out = []
+        if held.num_rows:
+            entry = expand(held.column("held")[0].as_py(), _HELD)
+            texts = dict(zip(given.column("batch").to_pylist(), given.column("text").to_pylist()))
+            for batch, gone in _gone(entry, texts, length):
+                out.append((batch, squeeze(gone)))
         columns = list(zip(*out)) or [[], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["batch", "gone"])
 
     return run
 
 
-def _gone(entry: np.ndarray, owner: np.ndarray, text: np.ndarray, length: int):
+def _gone(entry: np.ndarray, texts: dict[int, bytes], length: int):
+    """The texts of a batch lie in the order of the entries that were asked for."""
     n = entry["n"].astype(np.int64)
-    begin = np.cumsum(n) - n
-    span = np.concatenate([_hashes(text, begin[x], n[x]) for x in _chunks(n)])
-    order = np.lexsort((entry["doc"], span, entry["anchor"]))
-    anchor, span = entry["anchor"][order], span[order]
-    new_anchor, new_span = np.ones(len(order), bool), np.ones(len(order), bool)
-    new_anchor[1:] = anchor[1:] != anchor[:-1]
-    new_span[1:] = new_anchor[1:] | (span[1:] != span[:-1])
-    first = np.flatnonzero(new_span)  # of each distinct span, its smallest document
-    of = np.cumsum(new_span) - 1
-    doc = entry["doc"][order]
-    spans_of_anchor = np.bincount(np.cumsum(new_anchor) - 1, weights=new_span)[np.cumsum(new_anchor) - 1]
-    alone = spans_of_anchor == 1
-    # One distinct span: whole spans of later documents go.
-    whole = order[alone & (doc > doc[first][of])]
-    rows, a, b, owners = [entry["row"][whole]], [entry["at"][whole]], [entry["at"][whole] + n[whole]], [owner[whole]]
-    # Several: their suffixes, those of some anchors at a time.
-    several = np.flatnonzero(~alone)
-    if len(several):
-        number = np.cumsum(new_anchor[several]) - 1
-        laid = np.bincount(number, weights=(n[order[several]] + 1) * new_span[several]).astype(np.int64)
-        for some in _chunks(laid):
-            at = several[slice(*np.searchsorted(number, [some.start, some.stop]))]
-            e, window = _windows_gone(entry, order[at], of[at], begin, n, text, length)
-            a.append(entry["at"][e] + window)
-            b.append(a[-1] + length)
-            rows.append(entry["row"][e])
-            owners.append(owner[e])
-    row, a, b, owner = map(np.concatenate, (rows, a, b, owners))
-    order = np.argsort(owner, kind="stable")
-    row, a, b, owner = row[order], a[order], b[order], owner[order]
-    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    for i, j in zip(at, np.append(at, len(owner))[1:]):
-        yield int(owner[i]), merged(row[i:j], a[i:j], b[i:j])
+    new_anchor, new_span = _new(entry["anchor"]), _new(entry["anchor"], entry["span"])
+    of, number = np.cumsum(new_span) - 1, np.cumsum(new_anchor) - 1
+    begin, text, end = np.zeros(len(entry), np.int64), [], 0
+    for batch, e in _by_batch(entry["batch"][new_span], np.flatnonzero(new_span)):
+        begin[e] = end + np.cumsum(n[e]) - n[e]
+        end += int(n[e].sum())
+        text.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(texts[batch]), np.uint8))
+    text = np.concatenate(text)
+    laid = np.bincount(number, weights=(n + 1) * new_span).astype(np.int64)
+    found = []
+    for some in _chunks(laid):  # the suffixes of some anchors at a time
+        at = np.arange(*np.searchsorted(number, [some.start, some.stop]))
+        e, window = _windows_gone(entry, at, of[at], begin, n, text, length)
+        found.append((entry["batch"][e], entry["row"][e], entry["at"][e] + window))
+    batch, row, a = map(np.concatenate, zip(*found))
+    for batch, row, a in _by_batch(batch, row, a):
+        yield batch, merged(row, a, a + length)
 
 
 def _chunks(sizes: np.ndarray) -> list[slice]:
@@ -283,13 +331,6 @@ def _chunks(sizes: np.ndarray) -> list[slice]:
     return [slice(int(i), int(j)) for i, j in zip(edges[:-1], edges[1:])]
 
 
-def _hashes(text: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of strings that lie behind one another."""
-    part = text[begin[0] : begin[-1] + n[-1]]
-    sums = prefix_sums(Texts(part, np.array([0, len(part)])))
-    return substring_hash(sums, begin - begin[0], begin - begin[0] + n)
-
-
 def _windows_gone(entry, e, span, begin, n, text, length) -> tuple[np.ndarray, np.ndarray]:
     """Of entries ``e``, in the order of their ``span`` and then their document: the entries
     and the windows that a smaller document has."""
@@ -354,7 +395,12 @@ def remove_repeated_bytes(
     bits = range_bits(packed)
     ready = with_shared_anchors(packed, _anchors(length), bits)
     sent = ready.mapInArrow(_send(length, bits), _SENT)
-    gone = sent.groupBy("part").applyInArrow(_settle(length), "batch long, gone binary")
+    met = written(sent.groupBy("part").applyInArrow(_meet, _MET))
+    asked = met.where("asked IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("part", "asked")).alias("asked"))
+    given = packed.join(asked, "batch").mapInArrow(_give, "part int, batch long, text binary")
+    held = met.where("held IS NOT NULL").select("part", "held").groupBy("part")
+    gone = held.cogroup(given.groupBy("part")).applyInArrow(_settle(length), "batch long, gone binary")
+    gone = met.where("gone IS NOT NULL").select("batch", "gone").union(gone)
     gone = gone.groupBy("batch").agg(F.collect_list("gone").alias("gone"))
     schema = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary"
     cut = packed.join(gone, "batch", "left").mapInArrow(_cut, schema)
